@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, sharding, token_records
+from . import ball_tree, bpe, decontaminate, sharding, token_records, weak_quality
 from ._store import fresh_path, stored
 
 
@@ -21,6 +21,26 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_ball_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return ball_tree.top_k(vectors, vectors.where("vec_id % 50 = 0"), k=5)
+
+
+OP1_SQL = """
+with v as (
+  select vec_id, list_transform(embedding, x -> floor(256 * x::double)::bigint) as v
+  from embeddings
+  where embedding is not null and vec_id is not null and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0),
+s as (
+  select q.vec_id as query_id, c.vec_id,
+         list_sum(list_transform(list_zip(q.v, c.v), p -> p[1] * p[2]))::bigint as score
+  from v q join v c on q.vec_id <> c.vec_id and len(q.v) = len(c.v)
+  where q.vec_id % 50 = 0),
+r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
+select query_id, rank::int as rank, vec_id, score from r where rank <= 5
+"""
+
+
 def op4_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "records")
     token_records.write_records(_table(spark, sf_dir, "documents"), path, _vocabulary("word_bpe_49k.json"))
@@ -30,6 +50,15 @@ def op4_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_records.add_starts(kept).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op5_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return weak_quality.score(docs, weak_quality.fit(docs))
+
+
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _vocabulary("byte_bpe_50k.json")
     both = bpe.decode_ids(bpe.encode_texts(_table(spark, sf_dir, "documents"), path), path)
@@ -41,9 +70,12 @@ def op9_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ball_tree": op1_ball_tree,
     "op4_token_records": op4_token_records,
+    "op5_weak_quality": op5_weak_quality,
+    "op7_decontaminate": op7_decontaminate,
     "op8_bpe": op8_bpe,
     "op9_shards": op9_shards,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op1_ball_tree": OP1_SQL}
