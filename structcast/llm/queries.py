@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ball_tree, bpe, decontaminate, sharding, token_records, weak_quality
+from . import ball_tree, bpe, decontaminate, ngram_join, sharding, token_records, weak_quality
 from ._store import fresh_path, stored
 
 
@@ -41,6 +41,10 @@ select query_id, rank::int as rank, vec_id, score from r where rank <= 5
 """
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op4_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "records")
     token_records.write_records(_table(spark, sf_dir, "documents"), path, _vocabulary("word_bpe_49k.json"))
@@ -71,6 +75,7 @@ def op9_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ball_tree": op1_ball_tree,
+    "op3_ngram_join": op3_ngram_join,
     "op4_token_records": op4_token_records,
     "op5_weak_quality": op5_weak_quality,
     "op7_decontaminate": op7_decontaminate,
