@@ -10,32 +10,45 @@ from ._text import ragged
 
 
 class PieceTable:
-    """Ids of the pieces seen so far; holds `most` pieces and starts anew beyond that, which bounds its memory."""
+    """Ids of the pieces seen so far. It holds about `most` pieces: when it is full, the half that was used most stays."""
 
-    def __init__(self, encode: Callable[[list], list[np.ndarray]], most: int = 300_000):
+    def __init__(self, encode: Callable[[list], list[np.ndarray]], most: int = 360_000):
         self.encode, self.most = encode, most
         self._clear()
 
     def _clear(self) -> None:
         self.index: dict = {}
         self.flat, self.starts, self.lengths = np.zeros(1 << 16, np.uint32), np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
+        self.uses = np.zeros(1 << 12, np.int32)
         self.used = 0
 
+    def _shrink(self) -> None:
+        uses = self.uses[: len(self.index)]
+        least = max(2, int(np.partition(uses, len(uses) // 2)[len(uses) // 2]) + 1)
+        keep = np.flatnonzero(uses >= least)
+        ids = [self.flat[a : a + n].copy() for a, n in zip(self.starts[keep], self.lengths[keep], strict=True)]
+        pieces = list(self.index)
+        pieces = [pieces[k] for k in keep]
+        self._clear()
+        if pieces:
+            self._put(pieces, ids)
+
     def add(self, pieces: Iterable) -> None:
         """Encodes those pieces that are new."""
         new = [p for p in set(pieces) if p not in self.index]
         if len(self.index) + len(new) > self.most and self.index:
-            self._clear()
-            new = list(set(pieces))
-        if not new:
-            return
-        ids = self.encode(new)
+            self._shrink()
+            new = [p for p in set(pieces) if p not in self.index]
+        if new:
+            self._put(new, self.encode(new))
+
+    def _put(self, new: list, ids: list[np.ndarray]) -> None:
         lengths = np.fromiter(map(len, ids), np.int64, len(ids))
         first, more = len(self.index), int(lengths.sum())
         while self.used + more > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros(len(self.flat), np.uint32)])
         while first + len(new) > len(self.starts):
-            self.starts, self.lengths = (np.concatenate([x, np.zeros(len(x), np.int64)]) for x in (self.starts, self.lengths))
+            self.starts, self.lengths, self.uses = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lengths, self.uses))
         self.flat[self.used : self.used + more] = np.concatenate(ids) if more else 0
         self.starts[first : first + len(new)] = self.used + np.cumsum(lengths) - lengths
         self.lengths[first : first + len(new)] = lengths
@@ -45,4 +58,5 @@ class PieceTable:
     def ids(self, pieces: list) -> np.ndarray:
         """The ids of the pieces, one after the other; every piece must have been added."""
         at = np.fromiter(map(self.index.__getitem__, pieces), np.int64, len(pieces))
+        self.uses[at] += 1
         return self.flat[ragged(self.starts[at], self.lengths[at])]
