@@ -14,7 +14,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._pieces import PieceTable
+from ._pieces import PieceTable, byte_letters
 from ._store import bounded_batches
 from ._text import slices
 
@@ -26,13 +26,6 @@ WS = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u300
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WS}\p{{L}}\p{{N}}]+|[{WS}]+(?![^{WS}])|[{WS}]+"
 
 
-def byte_letters() -> dict[int, str]:
-    """The letter that stands for each byte in vocabulary files: itself if printable, else the next one from 256 on."""
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    hidden = [b for b in range(256) if b not in set(shown)]
-    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
-
-
 class Codec:
     """Encoder and decoder of one vocabulary file (JSON with vocab, merges and added_tokens)."""
 

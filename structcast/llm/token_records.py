@@ -19,6 +19,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._pieces import PieceTable
+from ._pieces import PieceTable, byte_letters
 from ._store import bounded_batches
 from ._text import slices
 
@@ -79,16 +80,23 @@ class Encoder:
         special = {t.content.encode(): i for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special}
         self.marks = list(special)
         self.mark, self.mark_id = next(iter(special.items()), (b"", -1))
+        self.letter = byte_letters()
         self.table = PieceTable(self._encode)
 
     def _encode(self, pieces: list[bytes]) -> list[np.ndarray]:
-        """Pieces go to the library as one text with a special token between them, which it cuts at before anything else."""
+        """Pieces of lower-case letters go straight to the library's merges, for neither its normal form nor its pattern changes
+        them. The others go to it as one text with a special token between them, which it cuts at before anything else."""
         out: list = [None] * len(pieces)
-        plain = list(range(len(pieces)))
+        tokenize, letter = self.tokenizer.model.tokenize, self.letter
+        for k, p in enumerate(pieces):
+            t = p.decode()
+            if t.isalpha() and t == t.lower() and (t.isascii() or is_normalized("NFC", t)):
+                out[k] = np.array([x.id for x in tokenize(t if t.isascii() else p.decode("latin-1").translate(letter))], np.uint32)
+        plain = [k for k, x in enumerate(out) if x is None]
         whole = b" ".join(pieces)
         if any(m in whole for m in self.marks):
-            plain = [k for k, p in enumerate(pieces) if not any(m in p for m in self.marks)]
-        for k in set(range(len(pieces))).difference(plain) if self.mark else range(len(pieces)):
+            plain = [k for k in plain if not any(m in pieces[k] for m in self.marks)]
+        for k in {k for k, x in enumerate(out) if x is None}.difference(plain if self.mark else ()):
             out[k] = np.array(self.tokenizer.encode(pieces[k].decode(), add_special_tokens=False).ids, np.uint32)
         for first in range(0, len(plain) if self.mark else 0, 8192):
             some = plain[first : first + 8192]
