@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ball_tree, bpe, decontaminate, ngram_join, sharding, token_records, weak_quality
+from . import ball_tree, bpe, decontaminate, ngram_join, pitman_yor, sharding, token_records, weak_quality
 from ._store import fresh_path, stored
 
 
@@ -73,6 +73,10 @@ def op9_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.feistel_shards(_table(spark, sf_dir, "documents"))
 
 
+def op10_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitman_yor.scores(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ball_tree": op1_ball_tree,
     "op3_ngram_join": op3_ngram_join,
@@ -81,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_decontaminate": op7_decontaminate,
     "op8_bpe": op8_bpe,
     "op9_shards": op9_shards,
+    "op10_pitman_yor": op10_pitman_yor,
 }
 
 ORACLE_SQL: dict[str, str] = {"op1_ball_tree": OP1_SQL}
