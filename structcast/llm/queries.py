@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ball_tree, bpe, decontaminate, ngram_join, pitman_yor, sharding, token_records, weak_quality
+from . import ball_tree, bpe, decontaminate, ngram_join, pitman_yor, repeats, sharding, token_records, weak_quality
 from ._store import fresh_path, stored
 
 
@@ -59,6 +59,12 @@ def op5_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weak_quality.score(docs, weak_quality.fit(docs))
 
 
+def op6_run_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = repeats.without_repeats(_table(spark, sf_dir, "documents"))
+    removed = F.aggregate(F.zip_with("starts", "ends", lambda a, b: (b - a).cast("long")), F.lit(0).cast("long"), lambda x, y: x + y)
+    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("starts").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -82,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_ngram_join": op3_ngram_join,
     "op4_token_records": op4_token_records,
     "op5_weak_quality": op5_weak_quality,
+    "op6_run_index": op6_run_index,
     "op7_decontaminate": op7_decontaminate,
     "op8_bpe": op8_bpe,
     "op9_shards": op9_shards,
