@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ball_tree, bpe, decontaminate, ngram_join, pitman_yor, repeats, sharding, token_records, weak_quality
+from . import ball_tree, bpe, decontaminate, line_dedup, ngram_join, pitman_yor, repeats, sharding, token_records, weak_quality
 from ._store import fresh_path, stored
 
 
@@ -41,6 +41,10 @@ select query_id, rank::int as rank, vec_id, score from r where rank <= 5
 """
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.deduplicated(_table(spark, sf_dir, "documents")).select("doc_id", "n_lines_gone", "text")
+
+
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -85,6 +89,7 @@ def op10_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ball_tree": op1_ball_tree,
+    "op2_line_dedup": op2_line_dedup,
     "op3_ngram_join": op3_ngram_join,
     "op4_token_records": op4_token_records,
     "op5_weak_quality": op5_weak_quality,
