@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SETTING = "spark.checkpoint.dir"
 BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -22,8 +24,13 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def shared_dir_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder that discard() leaves alone unless it is named."""
+    return f"{shared_dir(spark)}/structcast/{name}-{uuid.uuid4().hex}"
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    path = f"{shared_dir(spark)}/structcast/{name}-{uuid.uuid4().hex}"
+    path = shared_dir_path(spark, name)
     _written.append(path)
     return path
 
@@ -50,3 +57,28 @@ def bounded_batches(spark: SparkSession) -> None:
     """Arrow batches are cut by bytes as well as by rows, so that long texts cannot fill a worker's memory."""
     if spark.conf.get(BATCH_BYTES, None) is None:
         spark.conf.set(BATCH_BYTES, str(16 << 20))
+
+
+def maybe_among(keys: DataFrame, column: str, slots: int = 1 << 20):
+    """A test for columns: False only for values that aren't in keys[column]; a filter before a join.
+
+    The driver gets the hash slots in use, at most `slots`, and the test holds a bit for each; with very many keys it
+    lets everything through.
+    """
+    rows = keys.select(F.pmod(F.xxhash64(column), F.lit(slots)).alias("slot")).distinct().collect()
+    bits = [0] * (slots >> 5)
+    for (slot,) in rows:
+        bits[slot >> 5] |= 1 << (slot & 31)
+    held = F.from_json(F.lit("[" + ",".join(map(str, bits)) + "]"), "array<bigint>")
+
+    def test(value):
+        slot = F.pmod(F.xxhash64(value), F.lit(slots))
+        return F.call_function("shiftright", F.element_at(held, F.shiftright(slot, 5).cast("int") + 1), slot.bitwiseAND(F.lit(31)).cast("int")).bitwiseAND(F.lit(1)) == 1
+
+    return test
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of DataFrames that are no longer referred to."""
+    gc.collect()
+    spark._jvm.System.gc()

@@ -15,7 +15,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _vocabulary(name: str) -> str:
+def vocabulary(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
@@ -51,7 +51,7 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "records")
-    token_records.write_records(_table(spark, sf_dir, "documents"), path, _vocabulary("word_bpe_49k.json"))
+    token_records.write_records(_table(spark, sf_dir, "documents"), path, vocabulary("word_bpe_49k.json"))
     read = token_records.read_records(spark, path)
     kept = stored(read.select("file", "record", "offset", "length", "doc_id", F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32")), "index")
     token_records.write_index(kept, path + "-index")
@@ -74,7 +74,7 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _vocabulary("byte_bpe_50k.json")
+    path = vocabulary("byte_bpe_50k.json")
     both = bpe.decode_ids(bpe.encode_texts(_table(spark, sf_dir, "documents"), path), path)
     return both.select("doc_id", F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
 
