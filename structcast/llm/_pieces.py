@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable
 
 import numpy as np
 
@@ -17,9 +17,12 @@ def byte_letters() -> dict[int, str]:
 
 
 class PieceTable:
-    """Ids of the pieces seen so far. It holds about `most` pieces: when it is full, the half that was used most stays."""
+    """Ids of the pieces seen so far; encode(pieces) gives the pieces in any order, all their ids, and how many each has.
 
-    def __init__(self, encode: Callable[[list], list[np.ndarray]], most: int = 360_000):
+    It holds about `most` pieces: when it is full, the half that was used most stays.
+    """
+
+    def __init__(self, encode: Callable[[list], tuple[list, list, list]], most: int = 360_000):
         self.encode, self.most = encode, most
         self._clear()
 
@@ -33,30 +36,30 @@ class PieceTable:
         uses = self.uses[: len(self.index)]
         least = max(2, int(np.partition(uses, len(uses) // 2)[len(uses) // 2]) + 1)
         keep = np.flatnonzero(uses >= least)
-        ids = [self.flat[a : a + n].copy() for a, n in zip(self.starts[keep], self.lengths[keep], strict=True)]
+        flat, lengths = self.flat[ragged(self.starts[keep], self.lengths[keep])], self.lengths[keep]
         pieces = list(self.index)
         pieces = [pieces[k] for k in keep]
         self._clear()
         if pieces:
-            self._put(pieces, ids)
+            self._put(pieces, flat, lengths)
 
-    def add(self, pieces: Iterable) -> None:
+    def add(self, pieces: set) -> None:
         """Encodes those pieces that are new."""
-        new = [p for p in set(pieces) if p not in self.index]
+        new = pieces.difference(self.index)
         if len(self.index) + len(new) > self.most and self.index:
             self._shrink()
-            new = [p for p in set(pieces) if p not in self.index]
+            new = pieces.difference(self.index)
         if new:
-            self._put(new, self.encode(new))
+            self._put(*self.encode(list(new)))
 
-    def _put(self, new: list, ids: list[np.ndarray]) -> None:
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        first, more = len(self.index), int(lengths.sum())
+    def _put(self, new: list, flat: list, lengths: list) -> None:
+        lengths = np.asarray(lengths, np.int64)
+        first, more = len(self.index), len(flat)
         while self.used + more > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros(len(self.flat), np.uint32)])
         while first + len(new) > len(self.starts):
             self.starts, self.lengths, self.uses = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lengths, self.uses))
-        self.flat[self.used : self.used + more] = np.concatenate(ids) if more else 0
+        self.flat[self.used : self.used + more] = flat
         self.starts[first : first + len(new)] = self.used + np.cumsum(lengths) - lengths
         self.lengths[first : first + len(new)] = lengths
         self.index.update(zip(new, range(first, first + len(new)), strict=True))

@@ -119,7 +119,7 @@ class Codec:
                     heapq.heappush(heap, (r, left, ids[left], ids[right]))
         return np.array([i for i in ids if i >= 0], np.uint32)
 
-    def _encode_pieces(self, pieces: list) -> list[np.ndarray]:
+    def _encode_pieces(self, pieces: list) -> tuple[list, np.ndarray, list[int]]:
         out: list = [None] * len(pieces)
         by_length: dict[int, list[int]] = {}
         data: list = [None] * len(pieces)
@@ -139,8 +139,8 @@ class Codec:
                 some = where[first : first + step]
                 parts = self.first[np.frombuffer(b"".join(data[k] for k in some), np.uint8)].reshape(len(some), n)
                 for k, ids in zip(some, self._short(parts), strict=True):
-                    out[k] = ids.astype(np.uint32)
-        return out
+                    out[k] = ids
+        return pieces, np.concatenate(out), [len(x) for x in out]
 
     def pieces(self, text: str) -> list:
         """The pieces that merges never cross; a special token is a tuple of its id."""
@@ -157,7 +157,7 @@ class Codec:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text as unsigned 32-bit numbers."""
         cut = [self.pieces(t) for t in texts]
-        self.table.add({p for ps in cut for p in ps})
+        self.table.add(set().union(*cut))
         return [self.table.ids(ps) for ps in cut]
 
     def decode(self, ids: np.ndarray) -> str:

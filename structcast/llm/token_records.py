@@ -14,7 +14,6 @@ read by itself, in any order.
 from __future__ import annotations
 
 import os
-import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -31,7 +30,6 @@ from ._pieces import PieceTable, byte_letters
 from ._store import bounded_batches
 from ._text import slices
 
-END_MARKS = re.compile(rb"(?<=[a-zA-Z0-9])([.,;:!?]+)(?=[ \n]|$)")
 HEAD, FLAGS = struct.Struct("<QI"), struct.Struct("<Bq")
 SLICE_BYTES = 2 << 20
 
@@ -59,7 +57,7 @@ def frames(data: bytes | memoryview) -> Iterator[tuple[int, int, int | None, np.
         if masked(payload) != struct.unpack_from("<I", data, at + 12 + size)[0] or data[at + 16 + size] != 0x0A:
             raise ValueError(f"damaged record at byte {at}")
         flags, doc_id = FLAGS.unpack_from(payload)
-        yield at, 17 + size, None if flags & 1 else doc_id, np.frombuffer(payload, "<u4" if flags & 2 else "<u2", offset=FLAGS.size).astype(np.uint32)
+        yield at, 17 + size, None if flags & 1 else doc_id, np.frombuffer(payload, "<u4" if flags & 2 else "<u2", offset=FLAGS.size)
         at += 17 + size
 
 
@@ -83,41 +81,59 @@ class Encoder:
         self.letter = byte_letters()
         self.table = PieceTable(self._encode)
 
-    def _encode(self, pieces: list[bytes]) -> list[np.ndarray]:
-        """Pieces of lower-case letters go straight to the library's merges, for neither its normal form nor its pattern changes
-        them. The others go to it as one text with a special token between them, which it cuts at before anything else."""
-        out: list = [None] * len(pieces)
+    def _encode(self, pieces: list[bytes]) -> tuple[list[bytes], list[int], list[int]]:
+        """The pieces in another order, the ids of all of them, and how many each has.
+
+        Letters in lower case go straight to the library's merges, for neither its normal form nor its pattern changes
+        them, and so do end marks after an ASCII letter or digit, which the pattern parts from it. Other pieces go to it
+        as one text with a special token between them, at which it cuts before anything else.
+        """
+        done, flat, lengths, rest = [], [], [], []
         tokenize, letter = self.tokenizer.model.tokenize, self.letter
-        for k, p in enumerate(pieces):
-            t = p.decode()
-            if t.isalpha() and t == t.lower() and (t.isascii() or is_normalized("NFC", t)):
-                out[k] = np.array([x.id for x in tokenize(t if t.isascii() else p.decode("latin-1").translate(letter))], np.uint32)
-        plain = [k for k, x in enumerate(out) if x is None]
-        whole = b" ".join(pieces)
-        if any(m in whole for m in self.marks):
-            plain = [k for k in plain if not any(m in pieces[k] for m in self.marks)]
-        for k in {k for k, x in enumerate(out) if x is None}.difference(plain if self.mark else ()):
-            out[k] = np.array(self.tokenizer.encode(pieces[k].decode(), add_special_tokens=False).ids, np.uint32)
-        for first in range(0, len(plain) if self.mark else 0, 8192):
-            some = plain[first : first + 8192]
-            joined = self.mark.join(pieces[k] for k in some).decode()
-            ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.uint32)
-            end = np.append(np.flatnonzero(ids == self.mark_id), len(ids))
+        for p in pieces:
+            core = p.rstrip(b".,;:!?")
+            if core.isascii():
+                if not (core.isalpha() and core.islower()):
+                    rest.append(p)
+                    continue
+                ids = [x.id for x in tokenize(core.decode())]
+                if len(core) < len(p):
+                    ids += [x.id for x in tokenize(p[len(core) :].decode())]
+            else:
+                t = p.decode()
+                if not (t.isalpha() and t == t.lower() and is_normalized("NFC", t)):
+                    rest.append(p)
+                    continue
+                ids = [x.id for x in tokenize(p.decode("latin-1").translate(letter))]
+            done.append(p)
+            flat += ids
+            lengths.append(len(ids))
+        alone = [p for p in rest if not self.mark or any(m in p for m in self.marks)]
+        for p in alone:
+            ids = self.tokenizer.encode(p.decode(), add_special_tokens=False).ids
+            done.append(p)
+            flat += ids
+            lengths.append(len(ids))
+        if alone:
+            rest = [p for p in rest if p not in set(alone)]
+        for first in range(0, len(rest), 8192):
+            some = rest[first : first + 8192]
+            ids = self.tokenizer.encode_batch_fast([self.mark.join(some).decode()], add_special_tokens=False)[0].ids
+            end = [k for k, x in enumerate(ids) if x == self.mark_id] + [len(ids)]
             assert len(end) == len(some)
-            start = np.append(0, end[:-1] + 1)
-            for k, i, j in zip(some, start.tolist(), end.tolist(), strict=True):
-                out[k] = ids[i:j]
-        return out
+            start = [0] + [x + 1 for x in end[:-1]]
+            done += some
+            flat += [x for x in ids if x != self.mark_id]
+            lengths += [y - x for x, y in zip(start, end, strict=True)]
+        return done, flat, lengths
 
     def _cut(self, text: bytes) -> list[bytes]:
-        """Runs without white space. Marks at the end of an ASCII word are cut off, for the vocabulary parts letters or digits from marks; so is case (A-Z), which it drops, but for texts that may hold a special token."""
-        if b"<|" not in text:
-            text = text.lower()
-        return END_MARKS.sub(rb" \1", text).split()
+        """Runs without white space; without case (A-Z), which the vocabulary drops, but for texts that may hold a special token."""
+        return (text if b"<|" in text else text.lower()).split()
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         cut = [self._cut(t) for t in texts]
-        self.table.add({p for ps in cut for p in ps})
+        self.table.add(set().union(*cut))
         return [self.table.ids(ps) for ps in cut]
 
 
@@ -158,24 +174,25 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     """Every record in the files: file (number), record, offset, length, doc_id and ids (binary, little-endian unsigned 32-bit)."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select(F.regexp_extract("path", r"part-(\d+)", 1).cast("int").alias("file"), "content")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["file", "record", "offset", "length", "doc_id", "ids"]
-        kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-
-        def batch(rows: list) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+    def batch(file: int, rows: list) -> pa.RecordBatch:
+        record, offset, length, doc_id, ids = zip(*rows, strict=True)
+        ends = np.cumsum([0] + [4 * len(x) for x in ids]).astype(np.int32)
+        flat = np.concatenate(ids, dtype="<u4")
+        own = pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(ends), pa.py_buffer(flat)])
+        return pa.RecordBatch.from_arrays([pa.array([file] * len(ids), pa.int32()), pa.array(record, pa.int32()), pa.array(offset), pa.array(length), pa.array(doc_id, pa.int64()), own], ["file", "record", "offset", "length", "doc_id", "ids"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(len(b)):
-                rows, held = [], 0
+                rows, held, file = [], 0, b.column(0)[k].as_py()
                 for n, (at, length, doc_id, ids) in enumerate(frames(memoryview(b.column(1)[k].as_buffer()))):
-                    rows.append((b.column(0)[k].as_py(), n, at, length, doc_id, ids.astype("<u4").tobytes()))
+                    rows.append((n, at, length, doc_id, ids))
                     held += length
                     if held > SLICE_BYTES:
-                        yield batch(rows)
+                        yield batch(file, rows)
                         rows, held = [], 0
                 if rows:
-                    yield batch(rows)
+                    yield batch(file, rows)
 
     return files.mapInArrow(run, "file int, record int, offset long, length long, doc_id long, ids binary")
 
