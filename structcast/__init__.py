@@ -1 +1,13 @@
-"""Typed, validated data from messy text, in Spark."""
+"""Typed, validated data from messy text, in Spark.
+
+    from structcast import Extractor
+    people = Extractor({"type": "object", "properties": {"name": {"type": "string"}, "age": {"type": "integer"}}, "required": ["name", "age"]})
+    df.transform(people.into("answer")).select("answer", "shaped.data.*", "shaped.score")
+"""
+
+from .functions.readings import Options, readings
+from .operators.extract import Extractor, Shaped, ShapedError, extract, extract_into, feedback, quality_rollup
+from .plans.compiler import compile_schema
+from .plans.prompt import Style, prompt
+
+__all__ = ["Extractor", "Options", "Shaped", "ShapedError", "Style", "compile_schema", "extract", "extract_into", "feedback", "prompt", "quality_rollup", "readings"]

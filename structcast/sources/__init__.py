@@ -1 +1 @@
-
+"""Readers and writers around an extraction."""

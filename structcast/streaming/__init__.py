@@ -1 +1 @@
-
+"""Texts that arrive in chunks: replay of finished streams, and live streams."""
