@@ -123,7 +123,10 @@ class Extractor:
     # -- one text ---------------------------------------------------------------------------------------------------
 
     def fit(self, text: str) -> Fit | None:
-        got = self._fitter()(readings(text, self.options))
+        try:
+            got = self._fitter()(readings(text, self.options))
+        except RecursionError:  # nested deeper than any column is
+            got = None
         return None if got is None or _too_large(got.value, self.target.shape) else got
 
     def _fitter(self) -> Fitter:
