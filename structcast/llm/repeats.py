@@ -242,11 +242,25 @@ def repeated_ranges(texts: DataFrame, reps: DataFrame, length: int, part_rows: i
         rows = _meeting(batches)
         if len(rows):
             more = np.concatenate([[False], rows[1:, 0] == rows[:-1, 0]]) | np.concatenate([rows[1:, 0] == rows[:-1, 0], [False]])
-            rows = rows[more]
-            yield pa.RecordBatch.from_arrays([pa.array(rows[:, 2].astype(np.int64)), pa.array(rows[:, 3].astype(np.int32)), pa.array((rows[:, 3] + np.uint64(length)).astype(np.int32))], ["text", "a", "b"])
+            rows = rows[more].copy()
+            rows[:, 0] = mix(rows[:, 2])
+            if len(rows):
+                yield _packed(rows, parts)
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Runs of strings that follow or overlap each other in a text."""
+        rows = [np.frombuffer(x.as_buffer(), np.uint64).reshape(-1, 4) for b in batches for x in b.column(1)]
+        if not rows:
+            return
+        text, place = np.concatenate([r[:, 2] for r in rows]), np.concatenate([r[:, 3] for r in rows]).astype(np.int64)
+        order = np.lexsort((place, text))
+        text, place = text[order], place[order]
+        first = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (place[1:] > place[:-1] + length)]))
+        last = np.append(first[1:], len(text)) - 1
+        yield pa.RecordBatch.from_arrays([pa.array(text[first].astype(np.int64)), pa.array(place[first].astype(np.int32)), pa.array((place[last] + length).astype(np.int32))], ["text", "a", "b"])
 
     wide_places = found.where(F.col("kind") == WIDE)
-    by_string = _with_places(texts, reps, wide_places).mapInArrow(strings, ENTRY).repartition(parts // 4, "part").mapInArrow(equal, "text long, a int, b int")
+    by_string = _with_places(texts, reps, wide_places).mapInArrow(strings, ENTRY).repartition(parts // 4, "part").mapInArrow(equal, ENTRY).repartition(parts // 4, "part").mapInArrow(runs, "text long, a int, b int")
     out = whole.unionByName(indexed)
     return out.unionByName(by_string) if wide_places.limit(1).count() else out
 
