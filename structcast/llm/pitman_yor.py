@@ -137,8 +137,8 @@ def _sum_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["slot", "counts"])
 
 
-def _survey(texts: DataFrame) -> tuple[np.ndarray, int]:
-    """Hashes of the frequent words, and the number of training tokens.
+def _survey(texts: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
+    """Hashes of the frequent words, their counts or a little less, and the number of training tokens.
 
     A word is frequent if it is the most frequent of a hash bucket that holds a 1024th of all tokens; for this a bucket
     names only words that hold as much of some task's tokens, which any word with that share of all tokens does.
@@ -172,12 +172,13 @@ def _survey(texts: DataFrame) -> tuple[np.ndarray, int]:
     buckets = buckets.ravel()
     n = int(buckets.sum())
     named = seen.where("word is not null").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(1 << 16).collect()
-    best: dict[int, int] = {}
-    for word, _ in named:
+    best: dict[int, tuple[int, int]] = {}
+    for word, count in named:
         bucket = (word % 2**64) >> 48
         if buckets[bucket] * FREQUENT >= max(n, 1):
-            best.setdefault(bucket, word)
-    return np.sort(np.array(list(best.values()), np.int64).view(np.uint64)), n
+            best.setdefault(bucket, (word % 2**64, count))
+    found = sorted(best.values())
+    return np.array([w for w, _ in found], np.uint64), np.array([c for _, c in found], np.float64), n
 
 
 class Tokens:
@@ -279,7 +280,7 @@ def _seat(m: Model, part: int, e: Entries) -> tuple[Seating, np.ndarray, np.ndar
 
 def fit(texts: DataFrame, setting: Setting, part_tokens: int = 2_000_000) -> Model:
     """The model's totals. texts: text and train."""
-    frequent, tokens = _survey(texts)
+    frequent, about, tokens = _survey(texts)
     n_contexts = len(frequent) + 2
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -313,51 +314,47 @@ def fit(texts: DataFrame, setting: Setting, part_tokens: int = 2_000_000) -> Mod
             )
 
     parts = int(tokens // part_tokens) + 1
-    reckoned = np.zeros(n_contexts)
-    model = Model(setting, frequent, tokens, parts, reckoned, n_contexts, 1.0)
-    dealt = texts.where("train").select("text").mapInArrow(count, PACKED_SCHEMA)
-    packed = stored(dealt, "counted")
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(n_contexts * max(len(frequent), 1), np.int64)
-        for b in batches:
-            for k in range(len(b)):
-                np.add.at(total, np.frombuffer(b.column(0)[k].as_buffer(), "<u4"), np.frombuffer(b.column(1)[k].as_buffer(), "<i8"))
-        cell = np.flatnonzero(total)
-        if len(cell):
-            yield pa.RecordBatch.from_arrays([pa.array([cell.astype("<u4").tobytes()]), pa.array([total[cell].astype("<i8").tobytes()])], ["cells", "counts"])
-
-    matrix = np.zeros((n_contexts, max(len(frequent), 1)), np.int64)
-    for cells, counts in packed.where("part < 0").select("words", "per_word", "part").repartition(SPREAD, "part").select("words", "per_word").mapInArrow(add, "cells binary, counts binary").collect():  # SPREAD rows, a cell for each pair of frequent words
-        np.add.at(matrix.ravel(), np.frombuffer(bytes(cells), "<u4"), np.frombuffer(bytes(counts), "<i8"))
-    matrix = matrix[:, : len(frequent)]
-    model.frequent_counts = matrix.sum(0)
-    model.share = 1 - model.frequent_counts.sum() / max(tokens, 1)
-    # Customers of a context, but for texts' last words the count of its word; the start has one for each end token.
-    reckoned[2:] = model.frequent_counts
+    # Customers of a context are the count of its word; the start has one for each end token.
     end = np.flatnonzero(frequent == END)
-    reckoned[START] = model.frequent_counts[end[0]] if len(end) else 1
-
-    u, w = np.nonzero(matrix)
-    order = np.lexsort((u, w))
-    own = Seating(w[order], u[order].astype(np.int64), matrix[u, w][order], len(frequent))
+    reckoned = np.concatenate([[0, about[end[0]] if len(end) else 1], about])
+    model = Model(setting, frequent, tokens, parts, reckoned, n_contexts, float(1 - min(about.sum() / max(tokens, 1), 1)))
 
     def seat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Totals of the seating in each part; of parts under 0 the counts of pairs of frequent words."""
         by: dict = {}
+        cells = np.zeros(n_contexts * max(len(frequent), 1), np.int64)
         for b in batches:
             for k, part in enumerate(b.column(0).to_pylist()):
-                by.setdefault(part, []).append(b.slice(k, 1))
-        for part, rows in by.items():
-            seating, _, _ = _seat(model, part, Entries(iter(rows)))
+                if part < 0:
+                    np.add.at(cells, np.frombuffer(b.column(2)[k].as_buffer(), "<u4"), np.frombuffer(b.column(3)[k].as_buffer(), "<i8"))
+                else:
+                    by.setdefault(part, []).append(b.slice(k, 1))
+        cell = np.flatnonzero(cells)
+        if len(cell):
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int32()), pa.nulls(1, pa.int64()), pa.array([cell.astype("<u4").tobytes()]), pa.array([cells[cell].astype("<i8").tobytes()])], ["at", "n", "cells", "counts"])
+        for part in sorted(by):
+            seating, _, _ = _seat(model, part, Entries(iter(by.pop(part))))
             totals = seating.totals(n_contexts).astype(np.int64)
             customers = np.bincount(seating.context, seating.customers, n_contexts).astype(np.int64)
             both = np.concatenate([totals.ravel(), customers, [seating.n_words]])
             at = np.flatnonzero(both)
-            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(both[at])], ["at", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(both[at]), pa.nulls(len(at), pa.binary()), pa.nulls(len(at), pa.binary())], ["at", "n", "cells", "counts"])
 
+    dealt = texts.where("train").select("text").mapInArrow(count, PACKED_SCHEMA)
+    seated = stored(dealt.repartition(parts, "part").mapInArrow(seat, "at int, n long, cells binary, counts binary"), "seated")
+    release(texts.sparkSession)
+    matrix = np.zeros((n_contexts, max(len(frequent), 1)), np.int64)
+    for cells, counts in seated.where("cells is not null").select("cells", "counts").collect():  # a cell for each pair of frequent words
+        np.add.at(matrix.reshape(-1), np.frombuffer(bytes(cells), "<u4"), np.frombuffer(bytes(counts), "<i8"))
+    matrix = matrix[:, : len(frequent)]
+    model.frequent_counts = matrix.sum(0)
     sums = np.zeros(setting.samples * (n_contexts + 2) + n_contexts + 1, np.int64)
-    for at, n in packed.where("part >= 0").repartition(parts, "part").mapInArrow(seat, "at int, n long").groupBy("at").agg(F.sum("n")).collect():  # a row for each sample and context
+    for at, n in seated.where("at is not null").groupBy("at").agg(F.sum("n")).collect():  # a row for each sample and context
         sums[at] = n
+    u, w = np.nonzero(matrix)
+    order = np.lexsort((u, w))
+    own = Seating(w[order], u[order].astype(np.int64), matrix[u, w][order], len(frequent))
+
     totals = sums[: setting.samples * (n_contexts + 2)].reshape(setting.samples, -1).astype(float)
     model.vocabulary = int(sums[-1]) + int((model.frequent_counts > 0).sum())
     own.sample(setting, reckoned, max(1 - model.share, 1e-12), max(model.vocabulary, 1), np.random.default_rng([setting.seed, 2**31]))
