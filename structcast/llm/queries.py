@@ -28,12 +28,12 @@ def op1_ball_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP1_SQL = """
 with v as (
-  select vec_id, list_transform(embedding, x -> floor(256 * x::double)::bigint) as v
+  select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v
   from embeddings
-  where embedding is not null and vec_id is not null and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0),
+  where embedding is not null and vec_id is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
 s as (
   select q.vec_id as query_id, c.vec_id,
-         list_sum(list_transform(list_zip(q.v, c.v), p -> p[1] * p[2]))::bigint as score
+         list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::bigint as score
   from v q join v c on q.vec_id <> c.vec_id and len(q.v) = len(c.v)
   where q.vec_id % 50 = 0),
 r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
@@ -49,6 +49,22 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+OP3_SQL = r"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \x09-\x0D]+') as w from documents),
+g as (
+  select doc_id, list_distinct(case when len(w) = 0 then []::varchar[] when len(w) < 4 then [array_to_string(w, ' ')]
+    else list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i : i + 3], ' ')) end) as g from w),
+e as (select doc_id, unnest(g) as s from g),
+links as (
+  select a, b from (select x.doc_id as a, y.doc_id as b, count(*) as k from e x join e y on x.s = y.s and x.doc_id <> y.doc_id group by 1, 2)
+  join g ga on ga.doc_id = a join g gb on gb.doc_id = b
+  where 100 * k >= 85 * (len(ga.g) + len(gb.g) - k)),
+reach as (select doc_id as a, doc_id as b from g union select r.a, l.b from reach r join links l on l.a = r.b)
+select g.doc_id, len(g.g)::bigint as n_shingles, (select min(b) from reach where a = g.doc_id) as component_id from g
+"""
+
+
 def op4_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "records")
     token_records.write_records(_table(spark, sf_dir, "documents"), path, vocabulary("word_bpe_49k.json"))
@@ -100,4 +116,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_pitman_yor": op10_pitman_yor,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_ball_tree": OP1_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_ball_tree": OP1_SQL, "op3_ngram_join": OP3_SQL}
