@@ -119,6 +119,8 @@ class Extractor:
     def __post_init__(self):
         self.target = compile_schema(self.schema, self.style.root_name)
         self.rules = tuple(self.rules)
+        self.checks = self.checks and bool(self.target.schema) and _constrained(self.target.schema)
+        self._whole = "int" in repr(self.target)  # may the value hold a whole number?
 
     # -- one text ---------------------------------------------------------------------------------------------------
 
@@ -127,7 +129,7 @@ class Extractor:
             got = self._fitter()(readings(text, self.options))
         except RecursionError:  # nested deeper than any column is
             got = None
-        return None if got is None or _too_large(got.value, self.target.shape) else got
+        return None if got is None or self._whole and _too_large(got.value, self.target.shape) else got
 
     def _fitter(self) -> Fitter:
         found = self.__dict__.get("_own")
@@ -140,7 +142,7 @@ class Extractor:
 
     def errors(self, value: object) -> list[str]:
         """Broken constraints, then what the rules say."""
-        out = [v.text for v in violations(value, self.target.schema)] if self.checks and self.target.schema else []
+        out = [v.text for v in violations(value, self.target.schema)] if self.checks else []
         return out + [said for said in (rule(value) for rule in self.rules) if isinstance(said, str)]
 
     def shape(self, text: str) -> Shaped:
@@ -201,6 +203,27 @@ class Extractor:
             "raw": r.raw,
         }
 
+    def batch(self, texts: list[str | None]) -> pa.Array:
+        """Results for texts as an Arrow struct array, built column by column."""
+        kind = to_arrow_type(self.result_type)
+        found = [None if t is None else self.shape(t) for t in texts]
+        data = [None if r is None else column_value(r.data, self.target.shape) for r in found]
+        flags = [[] if r is None else r.flags for r in found]
+        flat = [f for fs in flags for f in fs]
+        told = pa.StructArray.from_arrays([pa.array([f.kind for f in flat], pa.string()), pa.array([f.penalty for f in flat], pa.int64()), pa.array([f.path for f in flat], pa.string()), pa.array([f.message for f in flat], pa.string())], fields=list(kind.field("flags").type.value_type))
+        ends = [0]
+        for fs in flags:
+            ends.append(ends[-1] + len(fs))
+        columns = [
+            pa.array([None if r is None else r.ok for r in found], pa.bool_()),
+            pa.array(data, kind.field("data").type),
+            pa.array([None if r is None else r.errors for r in found], kind.field("errors").type),
+            pa.array([None if r is None else r.score for r in found], pa.int64()),
+            pa.ListArray.from_arrays(pa.array(ends, pa.int32()), told, type=kind.field("flags").type),
+            pa.array(texts, pa.string()),
+        ]
+        return pa.StructArray.from_arrays(columns, fields=list(kind), mask=pa.array([r is None for r in found], pa.bool_()))
+
     def column(self, text: Column | str, fast: bool = True) -> Column:
         """A struct column: ok, data, errors, score, flags, raw; null for a null text.
 
@@ -209,12 +232,11 @@ class Extractor:
         """
         text = F.col(text) if isinstance(text, str) else text
         quick = _catalyst(self, text) if fast else None
-        kind = to_arrow_type(self.result_type)
         own = self
 
         @F.arrow_udf(returnType=self.result_type)
         def kernel(texts: pa.Array) -> pa.Array:
-            return pa.array([None if t is None else own.row(t) for t in texts.to_pylist()], kind)
+            return own.batch(texts.to_pylist())
 
         kernel = kernel.asNondeterministic()  # evaluated once, also under a filter on its result
         if quick is None:
@@ -265,7 +287,7 @@ def _catalyst(e: Extractor, text: Column) -> tuple[Column, Column] | None:
     if not isinstance(shape, Record) or e.rules or not shape.fields:
         return None
     simple = all(f.shape in _VARIANT and _NAME.fullmatch(f.name) and f.alias is None for f in shape.fields)
-    if not simple or e.checks and _constrained(e.target.schema):
+    if not simple or e.checks:
         return None
     both = F.try_parse_json(F.concat(F.lit("["), text, F.lit(f',"{_GUARD}"]')))
     guarded = (F.try_variant_get(both, "$[1]", "string") == _GUARD) & F.try_variant_get(both, "$[2]", "variant").isNull()
