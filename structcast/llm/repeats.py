@@ -83,7 +83,7 @@ ENTRY = "part long, rows binary"
 
 
 def _packed(rows: np.ndarray, parts: int) -> pa.RecordBatch:
-    """Rows of (hash, kind, text, place) in runs by range of the hash."""
+    """Rows of numbers, a hash first, in runs by range of the hash."""
     rows = rows[np.argsort(rows[:, 0])]
     part = (((rows[:, 0] >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
     edge = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
@@ -106,17 +106,17 @@ def _flushed(each: Iterator[tuple[int, np.ndarray]], parts: int) -> Iterator[pa.
         yield _packed(np.concatenate(held), parts)
 
 
-def _meeting(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
-    """All rows of a part whose hash occurs with different texts or places, in order of hash and kind."""
-    rows = [np.frombuffer(x.as_buffer(), np.uint64).reshape(-1, 4) for b in batches for x in b.column(1)]
+def _meeting(batches: Iterator[pa.RecordBatch], width: int) -> np.ndarray:
+    """All rows of a part whose hash occurs again, without repetition, in order of all their numbers."""
+    rows = [np.frombuffer(x.as_buffer(), np.uint64).reshape(-1, width) for b in batches for x in b.column(1)]
     if not rows:
-        return np.zeros((0, 4), np.uint64)
+        return np.zeros((0, width), np.uint64)
     hashes = np.concatenate([r[:, 0] for r in rows])
     order = np.argsort(hashes)
     again = np.zeros(len(order) + 1, bool)
     again[1:-1] = hashes[order][1:] == hashes[order][:-1]
     rows = np.concatenate(rows)[order[again[1:] | again[:-1]]]
-    rows = rows[np.lexsort((rows[:, 3], rows[:, 2], rows[:, 1], rows[:, 0]))]
+    rows = rows[np.lexsort(tuple(rows[:, k] for k in range(width - 1, -1, -1)))]
     return rows[np.concatenate([[True], (rows[1:] != rows[:-1]).any(1)])] if len(rows) else rows
 
 
@@ -126,7 +126,7 @@ WHOLE, OPEN, WIDE = 0, 1, 2
 
 def _settle(batches: Iterator[pa.RecordBatch], shards: int, wide: int) -> Iterator[pa.RecordBatch]:
     """For each anchor that is shared: its neighbourhood repeats as a whole, or goes to an index, or is settled string by string."""
-    rows = _meeting(batches)
+    rows = _meeting(batches, 4)
     if not len(rows):
         return
     new_hash = np.concatenate([[True], rows[1:, 0] != rows[:-1, 0]])
@@ -234,25 +234,25 @@ def repeated_ranges(texts: DataFrame, reps: DataFrame, length: int, part_rows: i
                     at = np.unique((np.asarray(places.values, np.int64)[:, None] - np.arange(reach + 1)).ravel())
                     at = at[(at >= 0) & (at + length <= len(body))]
                     own = h.spans(at, at + length)
-                    yield text, np.stack([own, own, np.full(len(at), np.uint64(text % 2**64)), at.astype(np.uint64)], 1)
+                    yield text, np.stack([own, np.full(len(at), np.uint64(text % 2**64)), at.astype(np.uint64)], 1)
 
         return _flushed(each(), parts)
 
     def equal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = _meeting(batches)
+        rows = _meeting(batches, 3)
         if len(rows):
             more = np.concatenate([[False], rows[1:, 0] == rows[:-1, 0]]) | np.concatenate([rows[1:, 0] == rows[:-1, 0], [False]])
             rows = rows[more].copy()
-            rows[:, 0] = mix(rows[:, 2])
+            rows[:, 0] = mix(rows[:, 1])
             if len(rows):
                 yield _packed(rows, parts)
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Runs of strings that follow or overlap each other in a text."""
-        rows = [np.frombuffer(x.as_buffer(), np.uint64).reshape(-1, 4) for b in batches for x in b.column(1)]
+        rows = [np.frombuffer(x.as_buffer(), np.uint64).reshape(-1, 3) for b in batches for x in b.column(1)]
         if not rows:
             return
-        text, place = np.concatenate([r[:, 2] for r in rows]), np.concatenate([r[:, 3] for r in rows]).astype(np.int64)
+        text, place = np.concatenate([r[:, 1] for r in rows]), np.concatenate([r[:, 2] for r in rows]).astype(np.int64)
         order = np.lexsort((place, text))
         text, place = text[order], place[order]
         first = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (place[1:] > place[:-1] + length)]))
@@ -265,7 +265,7 @@ def repeated_ranges(texts: DataFrame, reps: DataFrame, length: int, part_rows: i
     return out.unionByName(by_string) if wide_places.limit(1).count() else out
 
 
-def without_repeats(docs: DataFrame, length: int = 400, part_rows: int = 400_000, wide: int = 2048, shard_bytes: int = 2 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def without_repeats(docs: DataFrame, length: int = 400, part_rows: int = 400_000, wide: int = 4096, shard_bytes: int = 2 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, starts and ends of the removed runs, and kept (the bytes that are left) of every row.
 
     A byte goes if a string of `length` bytes covers it that also begins anywhere else, in the same text or another;
