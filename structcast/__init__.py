@@ -6,8 +6,10 @@
 """
 
 from .functions.readings import Options, readings
-from .operators.extract import Extractor, Shaped, ShapedError, extract, extract_into, feedback, quality_rollup
+from .operators.extract import Extractor, Shaped, ShapedError, extract, extract_into, feedback, quality_rollup, ruled
 from .plans.compiler import compile_schema
+from .operators.sql import register
 from .plans.prompt import Style, prompt
+from .streaming.streams import TextStream, live, replay
 
-__all__ = ["Extractor", "Options", "Shaped", "ShapedError", "Style", "compile_schema", "extract", "extract_into", "feedback", "prompt", "quality_rollup", "readings"]
+__all__ = ["Extractor", "Options", "Shaped", "ShapedError", "Style", "TextStream", "compile_schema", "extract", "extract_into", "feedback", "live", "prompt", "quality_rollup", "readings", "register", "replay", "ruled"]

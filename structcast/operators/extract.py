@@ -341,6 +341,18 @@ def asserted(shaped: Column | str) -> Column:
     return F.when(c["ok"] | c.isNull(), c).otherwise(F.raise_error(F.array_join(c["errors"], "; ")))
 
 
+def ruled(shaped: Column | str, rules: list[tuple[Column, Column | str]]) -> Column:
+    """The result with further rules as columns: a message is an error where its predicate is false; a null one passes.
+
+    Results that fit nothing stay as they are. Predicates may use the result's data and any other column.
+    """
+    c = _col(shaped)
+    said = [F.when(~good, F.lit(message) if isinstance(message, str) else message) for good, message in rules]
+    errors = F.concat(c["errors"], F.filter(F.array(*said).cast("array<string>"), lambda e: e.isNotNull()))
+    more = c.withField("errors", errors).withField("ok", F.size(errors) == 0)
+    return F.when(c["score"].isNull(), c).otherwise(more)
+
+
 def feedback(shaped: Column | str, prompt_text: str) -> Column:
     """What to tell a model after a result; null for a perfect one."""
     c = _col(shaped)
@@ -367,4 +379,4 @@ def best_candidate(df: DataFrame, key: list[str], default: str, guess: str, scor
     return df.groupBy(*key).agg(F.min_by(F.struct(*[c for c in df.columns if c not in key]), rank).alias("__best")).select(*key, "__best.*")
 
 
-__all__ = ["Extractor", "Shaped", "ShapedError", "Again", "as_json_schema", "asserted", "best_candidate", "coercions", "extract", "extract_into", "feedback", "number_text", "quality_rollup", "repairs", "score_of"]
+__all__ = ["Extractor", "Shaped", "ShapedError", "Again", "as_json_schema", "asserted", "best_candidate", "coercions", "extract", "extract_into", "feedback", "number_text", "quality_rollup", "repairs", "ruled", "score_of"]

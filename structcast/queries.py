@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.readings import Options
-from .operators.extract import Extractor, best_candidate, feedback, quality_rollup
+from .operators.extract import Extractor, best_candidate, feedback, quality_rollup, ruled, score_of
 from .operators.sql import register
 from .plans.shapes import INT, NULL, STRING, Choice, Field, ListOf, MapOf, Member, OneOf, Record, Target
 from .streaming.streams import replay
@@ -280,6 +280,18 @@ def custom_rules(spark, sf_dir):
     return _outcome(df, "c_custkey", F.when(F.size("r.errors") > 0, F.col("r.errors")[0]).alias("error"))
 
 
+@_query(
+    "select o_orderkey, o_totalprice as price, o_totalprice < 200000 and o_orderstatus <> 'P' as ok, (case when o_totalprice < 200000 then 0 else 1 end + case when o_orderstatus <> 'P' then 0 else 1 end)::bigint as n_errors, "
+    "case when o_totalprice >= 200000 then 'dear' when o_orderstatus = 'P' then 'pending ' || o_orderkey end as first_error, 0::bigint as total from orders"
+)
+def column_rules(spark, sf_dir):
+    """Rules as columns, with another column of the row; the score again as the sum of penalties."""
+    df = _run(_table(spark, sf_dir, "orders"), REAL, F.col("o_totalprice").cast("decimal(18,2)").cast("string"))
+    rules = [(F.col("r.data") < 200000, "dear"), (F.col("o_orderstatus") != "P", F.concat(F.lit("pending "), F.col("o_orderkey").cast("string")))]
+    r = ruled("r", rules)
+    return df.select("o_orderkey", F.col("r.data").alias("price"), r["ok"].alias("ok"), F.size(r["errors"]).cast("long").alias("n_errors"), F.get(r["errors"], F.lit(0)).alias("first_error"), score_of("r.flags").alias("total"))
+
+
 @_query(
     "select n_nationkey, 'The following corrections were needed:' || chr(10) || '  - Ignored extra key \"name\"' || chr(10) || '  - Used default value (required field missing)' || chr(10) || chr(10) "
     "|| 'Please respond using exactly this format:' || chr(10) || 'Answer in JSON using this schema:' || chr(10) || '{' || chr(10) || '  region: int,' || chr(10) || '}' as told from nation"
