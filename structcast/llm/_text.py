@@ -79,6 +79,14 @@ def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int
     return h
 
 
+def first_bytes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Length and first eight bytes of each span in one number."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(data) + 1, "<u8", buffer=padded, strides=(1,))
+    length = ends - starts
+    return (eight[starts] & _MASK[np.minimum(length, 8)]) ^ mix(length.astype(np.uint64))
+
+
 def shingles(h: np.ndarray, n: int) -> np.ndarray:
     """Hashes of all runs of n neighbours."""
     out = np.zeros(len(h) - n + 1, np.uint64)

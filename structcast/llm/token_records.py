@@ -22,16 +22,15 @@ from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._pieces import PieceTable, byte_letters
+from ._pieces import SpanTable, byte_letters
 from ._store import bounded_batches
-from ._text import slices
+from ._text import LOWER, buffers, hash_spans, slices, words
 
 HEAD, FLAGS = struct.Struct("<QI"), struct.Struct("<Bq")
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 4 << 20
 
 
 def masked(data: bytes) -> int:
@@ -79,7 +78,7 @@ class Encoder:
         self.marks = list(special)
         self.mark, self.mark_id = next(iter(special.items()), (b"", -1))
         self.letter = byte_letters()
-        self.table = PieceTable(self._encode)
+        self.table = SpanTable(self._encode)
 
     def _encode(self, pieces: list[bytes]) -> tuple[list[bytes], list[int], list[int]]:
         """The pieces in another order, the ids of all of them, and how many each has.
@@ -127,14 +126,25 @@ class Encoder:
             lengths += [y - x for x, y in zip(start, end, strict=True)]
         return done, flat, lengths
 
-    def _cut(self, text: bytes) -> list[bytes]:
-        """Runs without white space; without case (A-Z), which the vocabulary drops, but for texts that may hold a special token."""
-        return (text if b"<|" in text else text.lower()).split()
-
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        cut = [self._cut(t) for t in texts]
-        self.table.add(set().union(*cut))
-        return [self.table.ids(ps) for ps in cut]
+        return self.encode_buffer(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0] + [len(t) for t in texts]))
+
+    def encode_buffer(self, data: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
+        """Ids of each text. Pieces are runs without white space; without case (A-Z), which the vocabulary drops, but for texts that may hold a special token."""
+        low = LOWER[data]
+        whole = data.tobytes()
+        at = whole.find(b"<|")
+        while at >= 0:
+            text = int(np.searchsorted(bounds, at, "right")) - 1
+            low[bounds[text] : bounds[text + 1]] = data[bounds[text] : bounds[text + 1]]
+            at = whole.find(b"<|", int(bounds[text + 1]))
+        starts, ends, cuts = words(low, bounds)
+        hashes, first, where = np.unique(hash_spans(low, starts, ends), return_index=True, return_inverse=True)
+        place = self.table.places(hashes, low, starts[first], ends[first])
+        flat = self.table.gather(place[where])
+        lengths = self.table.lengths[place[where]]
+        end = np.concatenate([[0], np.cumsum(lengths)])[cuts]
+        return [flat[x:y] for x, y in zip(end[:-1], end[1:], strict=True)]
 
 
 @lru_cache(2)
@@ -160,10 +170,9 @@ def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int | None
         own = encoder(tokenizer)
         last = np.array([] if end_id is None else [end_id], np.uint32)
         for b in batches:
-            texts = b.column(1).cast(pa.large_binary())
-            bounds = np.concatenate([[0], np.cumsum(pc.binary_length(texts).to_numpy())]).astype(np.int64)
+            data, bounds = buffers(b.column(1))
             for i, j in slices(bounds, SLICE_BYTES):
-                ids = own.encode(texts[i:j].to_pylist())
+                ids = own.encode_buffer(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i])
                 out = [frame(d, np.concatenate([x, last])) for d, x in zip(b.column(0)[i:j].to_pylist(), ids, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["frame"])
 

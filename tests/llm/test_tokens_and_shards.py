@@ -127,3 +127,17 @@ def test_shards(spark):
     again = sharding.feistel_shards(docs.repartition(3), 8).collect()
     key = lambda x: sorted((r.doc_id or -1, r.text_crc32, r.shard, r.slot) for r in x)
     assert len(set(key(again)) ^ set(key(got))) <= 2 * sum(1 for t in texts if t == "same")
+
+
+def test_full_table_keeps_ids_right():
+    from structcast.llm._pieces import PieceTable, SpanTable
+
+    lib = Tokenizer.from_file(WORD)
+    own, other = token_records.Encoder(WORD), bpe.Codec(BYTE)
+    own.table, other.table = SpanTable(own._encode, 50), PieceTable(other._encode_pieces, 50)
+    byte = Tokenizer.from_file(BYTE)
+    r = random.Random(3)
+    for k in range(20):
+        texts = [" ".join(r.choice(["the", "of", f"w{k}x{r.randint(0, 30)}"]) for _ in range(40)) for _ in range(3)]
+        for t, g, h in zip(texts, own.encode([t.encode() for t in texts]), other.encode(texts), strict=True):
+            assert g.tolist() == lib.encode(t, add_special_tokens=False).ids and h.tolist() == byte.encode(t, add_special_tokens=False).ids
