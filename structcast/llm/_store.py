@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -44,9 +45,14 @@ def stored(df: DataFrame, name: str, partition_by: str | None = None) -> DataFra
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard(spark: SparkSession, paths: list[str] | None = None) -> None:
-    """Deletes what stored() and fresh_path() made so far; only for callers whose results are already written."""
-    for path in list(_written if paths is None else paths):
+def written() -> list[str]:
+    """The paths that fresh_path() has given and discard() has not taken away."""
+    return list(_written)
+
+
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes tables; only for callers whose results no longer need them."""
+    for path in paths:
         target = spark._jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
         if path in _written:
@@ -79,6 +85,8 @@ def maybe_among(keys: DataFrame, column: str, slots: int = 1 << 20):
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of DataFrames that are no longer referred to."""
-    gc.collect()
-    spark._jvm.System.gc()
+    """Lets Spark delete the shuffle files of DataFrames that are no longer referred to; its cleaner learns of them by garbage collection."""
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.2)
