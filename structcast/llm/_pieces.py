@@ -22,7 +22,7 @@ class PieceTable:
     It holds about `most` pieces: when it is full, the half that was used most stays.
     """
 
-    def __init__(self, encode: Callable[[list], tuple[list, list, list]], most: int = 360_000):
+    def __init__(self, encode: Callable[[list], tuple[list, list, list]], most: int = 240_000):
         self.encode, self.most = encode, most
         self._clear()
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,6 +18,12 @@ _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _S32, _S29 = np.uint64(32), np.uint64(29)
 
 
+try:  # where the C library can, freed memory goes back to the system after each batch: two workers share an executor's
+    _trim = ctypes.CDLL("libc.so.6").malloc_trim
+except (OSError, AttributeError):
+    _trim = None
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every bit."""
     h = (h ^ (h >> _S32)) * _M1
@@ -44,6 +51,8 @@ def slices(bounds: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         last = max(first + 1, int(np.searchsorted(bounds, bounds[first] + most, "right")) - 1)
         yield first, min(last, count)
         first = min(last, count)
+    if _trim is not None:
+        _trim(0)
 
 
 def words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

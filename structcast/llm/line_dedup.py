@@ -19,8 +19,8 @@ from ._text import LOWER, buffers, hash_spans, mix, ragged, slices, words
 
 COUNTER_BITS, SLOTS = 20, 64
 COUNTERS = 1 << COUNTER_BITS
-SLICE_BYTES = 4 << 20
-FLUSH = 1 << 20
+SLICE_BYTES = 2 << 20
+FLUSH = 1 << 19
 
 
 def _class(counts: np.ndarray) -> np.ndarray:
@@ -76,6 +76,7 @@ class Lines:
         first = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]])) if len(line) else np.zeros(0, np.int64)
         size = np.diff(np.append(first, len(line)))
         self.text, self.number = text[line[first]], number[line[first]]
+        self.start, self.end = begin[first], end[first + size - 1]
         place = (np.arange(len(line)) - np.repeat(first, size)).astype(np.uint64)
         self.sid = mix(np.add.reduceat(mix(h + mix(place)), first) + size.astype(np.uint64)).view(np.int64) if len(line) else np.zeros(0, np.int64)
         if classes is None:
@@ -120,7 +121,8 @@ def split_lines(texts: DataFrame) -> DataFrame:
 def _meeting(texts: DataFrame, classes: np.ndarray, percent: int, parts: int, nearest: int, chunk: int, only: tuple[np.ndarray, np.ndarray] | None) -> DataFrame:
     """Pairs (a, b) of sets that pass all filters on a shared key, b in no earlier document than a; more: whether b had further ones.
 
-    For each key and b a few, the nearest by sketch of those looked at; with `only`, slots of hashes of lines and of keys, all pairs of the b on these slots.
+    For each key and b a few, the nearest by sketch of those looked at; with `only`, slots of hashes of lines and of keys, all
+    pairs on these keys with b on these slots.
     """
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,6 +142,8 @@ def _meeting(texts: DataFrame, classes: np.ndarray, percent: int, parts: int, ne
                 line = np.repeat(use, count)
                 place = ragged(np.zeros(len(use), np.int64), count)
                 rows = np.stack([own.key[own.first[line] + place], own.sid[line].view(np.uint64), own.bits()[line], doc[line].astype(np.int64).view(np.uint64), (own.n[line].astype(np.uint64) << np.uint64(32)) | place.astype(np.uint64)], 1)
+                if only is not None:
+                    rows = rows[only[1][slots_of(np.ascontiguousarray(rows[:, 0]))]]
                 held.append(rows)
                 size += len(rows)
                 if size > FLUSH:
@@ -202,7 +206,7 @@ def _group_pairs(rows: np.ndarray, first: np.ndarray, size: np.ndarray, percent:
         ends = np.cumsum(reach)
         lo = 0
         while lo < len(b):
-            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + (1 << 21), "right")))
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + (1 << 19), "right")))
             x = np.repeat(b[lo:hi], reach[lo:hi])
             y = ragged(base[lo:hi], reach[lo:hi])
             small, large = np.minimum(n[x], n[y]), np.maximum(n[x], n[y])
@@ -234,17 +238,42 @@ def _group_pairs(rows: np.ndarray, first: np.ndarray, size: np.ndarray, percent:
 
 
 def _line_texts(texts: DataFrame, firsts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """sid, first (where its first line is) and words (that line) of each wanted sid."""
+    """sid, first (where its first line is) and words (that line) of each wanted sid.
+
+    Tasks send only lines whose sid falls on a slot of a wanted one; the join with the places decides.
+    """
     places = stored(firsts.join(wanted, "sid").select("sid", "first"), "places")
-    by_text = places.groupBy(F.col("first.doc_id").alias("doc_id"), F.col("first.tie").alias("tie")).agg(F.collect_list(F.struct("first.line", "sid", "first")).alias("at"))
-    near = texts.where(maybe_among(places.select("first.doc_id"), "doc_id")(F.col("doc_id"))).join(by_text, ["doc_id", "tie"]).select(F.split("text", "\n").alias("lines"), F.explode("at").alias("at"))
-    return stored(near.select("at.sid", "at.first", F.element_at("lines", F.col("at.line") + 1).alias("words")).dropDuplicates(["sid"]), "words")
+    slots = np.zeros(1 << 20, bool)
+    for row in places.select("sid").mapInArrow(_slot_rows, "slot int").distinct().collect():  # at most a row for each slot
+        slots[row.slot] = True
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data, bounds = buffers(b.column(2))
+            for i, j in slices(bounds, SLICE_BYTES):
+                own = Lines(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i])
+                use = np.flatnonzero(slots[slots_of(own.sid)])
+                part = data[bounds[i] : bounds[j]]
+                at = pa.array(own.text[use] + i)
+                found = [part[x:y].tobytes() for x, y in zip(own.start[use].tolist(), own.end[use].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(own.sid[use]), b.column(0).take(at), b.column(1).take(at), pa.array(own.number[use].astype(np.int32)), pa.array(found, pa.binary()).cast(pa.string())], ["sid", "doc_id", "tie", "line", "words"])
+
+    sent = texts.select("doc_id", "tie", "text").mapInArrow(run, "sid long, doc_id long, tie long, line int, words string")
+    same = [sent["sid"] == places["sid"], sent["doc_id"] == F.col("first.doc_id"), sent["tie"] == F.col("first.tie"), sent["line"] == F.col("first.line")]
+    return stored(sent.join(places, same).select(places["sid"], "first", "words").dropDuplicates(["sid"]), "words")
+
+
+def _slot_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([pa.array(np.unique(slots_of(np.asarray(b.column(0)))).astype(np.int32))], ["slot"])
 
 
 def _later(pairs: DataFrame, texts: DataFrame, firsts: DataFrame, percent: int) -> DataFrame:
     """sid of the later line of each pair that is similar enough, from the texts of their first lines."""
     both = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    release(texts.sparkSession)
     lines = _line_texts(texts, firsts, both.select(F.col("a").alias("sid")).union(both.select(F.col("b").alias("sid"))).distinct())
+    release(texts.sparkSession)
     x = lines.select(F.col("sid").alias("a"), F.col("first").alias("first_a"), F.col("words").alias("x"))
     y = lines.select(F.col("sid").alias("b"), F.col("first").alias("first_b"), F.col("words").alias("y"))
     late = F.when(F.col("first_a") < F.col("first_b"), F.col("b")).otherwise(F.col("a"))

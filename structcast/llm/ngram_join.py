@@ -19,9 +19,9 @@ from ._store import bounded_batches, maybe_among, release, stored
 from ._text import LOWER, buffers, hash_spans, mix, shingles, slices, words
 from .components import components
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 BLOCK_BITS = 32  # so wide that blocks of few bits, too, are equal for equal contents only; a sketch is held as the list of its set bits
-FLUSH = 1 << 21
+FLUSH = 1 << 20
 SAMPLE = 64
 
 
