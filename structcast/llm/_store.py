@@ -62,7 +62,7 @@ def discard(spark: SparkSession, paths: list[str]) -> None:
 def bounded_batches(spark: SparkSession) -> None:
     """Arrow batches are cut by bytes as well as by rows, so that long texts cannot fill a worker's memory."""
     if spark.conf.get(BATCH_BYTES, None) is None:
-        spark.conf.set(BATCH_BYTES, str(16 << 20))
+        spark.conf.set(BATCH_BYTES, str(4 << 20))
 
 
 def maybe_among(keys: DataFrame, column: str, slots: int = 1 << 20):
