@@ -24,9 +24,9 @@ class PieceTable:
 
     def __init__(self, encode: Callable[[list], tuple[list, list, list]], most: int = 240_000):
         self.encode, self.most = encode, most
-        self._clear()
+        self.clear()
 
-    def _clear(self) -> None:
+    def clear(self) -> None:
         self.index: dict = {}
         self.flat, self.starts, self.lengths = np.zeros(1 << 16, np.uint32), np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
         self.uses = np.zeros(1 << 12, np.int32)
@@ -39,7 +39,7 @@ class PieceTable:
         flat, lengths = self.flat[ragged(self.starts[keep], self.lengths[keep])], self.lengths[keep]
         pieces = list(self.index)
         pieces = [pieces[k] for k in keep]
-        self._clear()
+        self.clear()
         if pieces:
             self._put(pieces, flat, lengths)
 

@@ -185,6 +185,7 @@ def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
             for i, j in slices(bounds, SLICE_BYTES):
                 ids = own.encode([t or "" for t in texts[i:j].to_pylist()])
                 yield pa.RecordBatch.from_arrays([b.column(0)[i:j], pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary())], ["doc_id", "ids"])
+        own.table.clear()  # later stages share the worker's memory
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, ids binary")
 

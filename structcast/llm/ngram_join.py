@@ -21,7 +21,7 @@ from .components import components
 
 SLICE_BYTES = 2 << 20
 BLOCK_BITS = 32  # so wide that blocks of few bits, too, are equal for equal contents only; a sketch is held as the list of its set bits
-FLUSH = 1 << 20
+FLUSH = 1 << 19
 SAMPLE = 64
 
 
