@@ -126,7 +126,7 @@ def _meeting(texts: DataFrame, classes: np.ndarray, percent: int, parts: int, ne
     """
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, seen = [], 0, set()
+        held, size, seen = [], 0, {}  # seen: the earliest document of each line since the last flush
         for b in batches:
             data, bounds = buffers(b.column(1))
             ids = np.asarray(b.column(0))
@@ -136,8 +136,8 @@ def _meeting(texts: DataFrame, classes: np.ndarray, percent: int, parts: int, ne
                 order = np.argsort(doc, kind="stable")
                 _, first = np.unique(own.sid[order], return_index=True)
                 use = np.sort(order[first])
-                use = use[[s not in seen for s in own.sid[use].tolist()]]
-                seen.update(own.sid[use].tolist())
+                use = use[[d < seen.get(s, np.inf) for s, d in zip(own.sid[use].tolist(), doc[use].tolist(), strict=True)]]
+                seen.update(zip(own.sid[use].tolist(), doc[use].tolist(), strict=True))
                 count = own.prefix(percent)[use]
                 line = np.repeat(use, count)
                 place = ragged(np.zeros(len(use), np.int64), count)
@@ -148,7 +148,7 @@ def _meeting(texts: DataFrame, classes: np.ndarray, percent: int, parts: int, ne
                 size += len(rows)
                 if size > FLUSH:
                     yield _packed(np.concatenate(held), parts)
-                    held, size, seen = [], 0, set()
+                    held, size, seen = [], 0, {}
         if size:
             yield _packed(np.concatenate(held), parts)
 
