@@ -1,4 +1,4 @@
-"""Benchmark decontamination: rare n-gram seeds find passages, Smith-Waterman alignment scores them."""
+"""Benchmark decontamination: n-gram seeds find passages, Smith-Waterman alignment scores them."""
 
 from __future__ import annotations
 
@@ -48,11 +48,6 @@ class Items:
         same = self.seed[k] == runs[at]
         return at[same], k[same]
 
-    def kept(self, seeds: np.ndarray) -> Items:
-        """Only the occurrences marked in `seeds`."""
-        used = np.unique(self.of_seed[seeds])
-        return Items(self.ids, self.words, self.seed[used], np.searchsorted(used, self.of_seed[seeds]), self.item[seeds], self.place[seeds], self.n)
-
 
 def text_words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of all texts, without case (A-Z) and marks, and each text's bounds among them."""
@@ -107,6 +102,13 @@ def align(item: np.ndarray, passages: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return best, end
 
 
+def enough(item: np.ndarray, passages: np.ndarray, threshold: float) -> np.ndarray:
+    """Passages that hold words of the item so often that their matches alone reach the threshold; the others cannot."""
+    own = np.unique(item)
+    k = np.minimum(np.searchsorted(own, passages), len(own) - 1)
+    return (own[k] == passages).sum(1) >= threshold * len(item)
+
+
 def _candidates(items: Items, h: np.ndarray, at: np.ndarray, runs: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """By item: text, first and last word of each passage that holds a seed.
 
@@ -138,11 +140,11 @@ def matches(docs: DataFrame, benchmark: DataFrame, n: int = 3, threshold: float
     """doc_id, item_id, score and end of the best aligned passage of each text and item whose score reaches the threshold.
 
     score: Smith-Waterman score over words (match 2, other word -1, gap -1) as a share of the item's score with itself;
-    end: the word (from 0) after the passage. Words are without case and marks. Seeds of an item are the half of its
-    n-grams that are rarest in all texts, at least sixteen and all ties; every passage with a seed is aligned. Items go
-    to all tasks in blocks of at most block_items. An item of fewer than n words, or null, has no seed and matches
-    nothing; a null or empty text matches nothing; repeated rows give repeated results; empty tables give an empty
-    result; other columns are not read. No shuffle of texts.
+    end: the word (from 0) after the passage. Words are without case and marks. Every n-gram of an item is a seed, however
+    common; every passage with a seed is aligned unless it has too few of the item's words to reach the threshold. A copy
+    without n neighbouring words of the item isn't found. Items go to all tasks in blocks of at most block_items. An item
+    of fewer than n words, or null, has no seed and matches nothing; a null or empty text matches nothing; repeated rows
+    give repeated results; empty tables give an empty result; other columns are not read. No shuffle of texts.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -154,36 +156,11 @@ def matches(docs: DataFrame, benchmark: DataFrame, n: int = 3, threshold: float
     for k in range(blocks):
         part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
         block = make_items(sorted((tuple(r) for r in part.collect()), key=str), n)
-        found = _aligned(texts, _rarest(texts, block), threshold, schema)
+        found = _aligned(texts, block, threshold, schema)
         out = found if out is None else out.unionAll(found)
     return out
 
 
-def _rarest(texts: DataFrame, items: Items) -> Items:
-    """The items with the rarer half of their seeds, by count in all texts."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(items.seed), np.int64)
-        for b in batches:
-            data, bounds = buffers(b.column(0))
-            for i, j in slices(bounds, SLICE_BYTES):
-                _, _, runs = _runs(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i], items.n)
-                total += np.bincount(items.find(runs)[1], minlength=len(total))
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(total[seen])], ["seed", "n"])
-
-    counts = np.zeros(len(items.seed), np.int64)
-    for seed, n in texts.select("text").mapInArrow(count, "seed int, n long").groupBy("seed").agg(F.sum("n")).collect():  # a row for each seed of the block
-        counts[seed] = n
-    own = counts[items.of_seed]
-    keep = np.zeros(len(own), bool)
-    for i in range(len(items.ids)):
-        at = np.flatnonzero(items.item == i)
-        if len(at):
-            keep[at] = own[at] <= np.sort(own[at])[min(len(at) - 1, max(15, len(at) // 2))]
-    return items.kept(keep)
-
-
 def _aligned(texts: DataFrame, items: Items, threshold: float, schema: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -197,8 +174,10 @@ def _aligned(texts: DataFrame, items: Items, threshold: float, schema: str) -> D
                         f, e = first[lo : lo + 512], last[lo : lo + 512]
                         cells = f[:, None] + np.arange((e - f).max())
                         passages = np.where(cells < e[:, None], h[np.minimum(cells, len(h) - 1)], 0)
-                        got, end = align(own, passages)
-                        for t, s, x in zip(text[lo : lo + 512], got / (MATCH * len(own)), f + end + 1 - at[text[lo : lo + 512]], strict=True):
+                        some = enough(own, passages, threshold)
+                        got, end = align(own, passages[some])
+                        t = text[lo : lo + 512][some]
+                        for t, s, x in zip(t, got / (MATCH * len(own)), f[some] + end + 1 - at[t], strict=True):
                             if s >= threshold and best.get((t, item), (0,))[0] < s:
                                 best[t, item] = (s, x)
                 if best:

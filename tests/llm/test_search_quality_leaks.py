@@ -124,6 +124,24 @@ def test_leaks(spark):
     assert decontaminate.matches(df.limit(0), bench).count() == 0 and decontaminate.matches(df, bench.limit(0)).count() == 0
 
 
+def test_leaks_of_edited_and_partial_copies(spark):
+    r = random.Random(8)
+    items = [(i, [f"i{i}x{k}" for k in range(40)]) for i in range(6)]
+    docs, want = [], set()
+    for i, own in items:
+        edited = [f"edit{i}" if k % 4 == 3 else w for k, w in enumerate(own)]
+        copies = [own, edited, own[:21], own[19:]]  # verbatim, every fourth word replaced, halves
+        for k, copy in enumerate(copies):
+            if i % 2 and k == 0:
+                continue  # no verbatim copy beside the others
+            docs.append((10 * i + k, " ".join([f"f{r.randrange(900)}" for _ in range(50)] + copy + [f"f{r.randrange(900)}" for _ in range(50)])))
+            want.add((10 * i + k, i))
+        docs.append((10 * i + 9, " ".join(own[:12])))  # under the threshold
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    assert {(x.doc_id, x.item_id) for x in decontaminate.matches(df, bench).collect()} == want
+
+
 def test_leaks_of_the_table(spark):
     from structcast.llm.queries import op7_decontaminate
 
