@@ -1,18 +1,19 @@
 """Language-model scores by a hierarchical Pitman-Yor model whose seating is sampled by Gibbs.
 
-Every frequent word has a restaurant for the words that follow it; all these restaurants, and the tokens that follow
-other words, share one parent restaurant, whose base is uniform over the training words and one unknown word. A sweep
-seats the customers of every (context, word) anew given the parent's probabilities, then the parent's own customers, one
-for each table below. The predictive probabilities of the last sweeps are averaged.
+Every pair of neighbouring words has a restaurant for the words that follow it; each of its tables is a customer of the
+restaurant of the nearer word, whose tables are customers of one root restaurant. The root's base is uniform over the
+training words and one unknown word. The predictive probabilities of the last sweeps are averaged.
 
-Frequent words (at most 1024) are counted in tasks and seated on the driver. All other words are dealt by hash, with
-what precedes them, so that everything about a word meets in one task; only totals for each context go between tasks.
+Tokens are dealt by the word before them, so that a context and all longer ones that share it meet in one task; what
+follows frequent words (at most 1024) is dealt by both words. What a part needs of other parts, customers and tables of
+words in the root and of the contexts that end in a frequent word, is summed by key and sent back to the parts that ask.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -20,17 +21,18 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._store import bounded_batches, release, stored
-from ._text import LOWER, buffers, hash_spans, slices, words
+from ._store import bounded_batches, discard, release, stored, written
+from ._text import LOWER, buffers, hash_spans, mix, slices, words
 
 SLICE_BYTES = 4 << 20
 BUCKETS, SLOTS = 1 << 16, 64
 FREQUENT = 1024
 TRAIN_BIT = 1 << 15
-FLUSH_TOKENS, FLUSH_DOCS = 1 << 21, 1 << 16
+FLUSH_TOKENS, FLUSH_DOCS = 1 << 20, TRAIN_BIT
+COUNTED, GROUPS = 2, 3  # groups of parts, in counting and after it; one after the other, so that only a share of the entries is on disk at once
+CHUNK = 1 << 23  # tokens whose places fit the sorting key
 END = np.uint64(0x5EED0E4D)  # the hash of the end token; START is a context only
-START = 1
-SPREAD = 16
+START = np.uint64(1)
 
 
 @dataclass
@@ -75,7 +77,7 @@ def draw_tables(customers: np.ndarray, pull: np.ndarray, discount: float, random
 
 @dataclass
 class Seating:
-    """Types (word, context, customers) in order, and their tables in each sample."""
+    """Types (word, context, customers) in order, and their tables in each sample, of contexts of one word that lie in one place."""
 
     word: np.ndarray  # place of the word among the words
     context: np.ndarray  # 0: the parent itself
@@ -181,77 +183,259 @@ def _survey(texts: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
     return np.array([w for w, _ in found], np.uint64), np.array([c for _, c in found], np.float64), n
 
 
-class Tokens:
-    """Tokens of a slice of texts: word, context and text; a word's place among the frequent ones, or -1."""
-
-    def __init__(self, frequent: np.ndarray, data: np.ndarray, bounds: np.ndarray):
-        self.word, self.at = token_hashes(data, bounds)
-        place = np.minimum(np.searchsorted(frequent, self.word), max(len(frequent) - 1, 0))
-        self.place = np.where(frequent[place] == self.word, place, -1) if len(frequent) else np.full(len(self.word), -1)
-        self.context = np.zeros(len(self.word), np.int64)
-        self.context[1:] = np.where(self.place[:-1] >= 0, self.place[:-1] + 2, 0)  # 0: none of its own, 1: start
-        self.context[self.at[:-1]] = START
-        self.text = np.repeat(np.arange(len(bounds) - 1), np.diff(self.at))
-
-
 def _runs(values: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, np.int64)
 
 
-def _pack(block: int, word: np.ndarray, context: np.ndarray, text: np.ndarray, parts: int) -> pa.RecordBatch:
-    """One row for each part: words, how many entries each has, and of each entry the context (with the training bit), the text and the count."""
-    distinct, g = np.unique(word, return_inverse=True)
-    entry, count = np.unique((g.astype(np.int64) << 32) | (context << 16) | text, return_counts=True)
-    g = entry >> 32
-    part = (((distinct >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
-    first = np.append(_runs(part), len(distinct))
-    edge = np.searchsorted(g, first)
-    per_word = np.bincount(g, minlength=len(distinct)).astype("<u4")
-    wide = count.max(initial=0) > 255
-    fields = (distinct, per_word, ((entry >> 16) & 0xFFFF).astype("<u2"), (entry & 0xFFFF).astype("<u2"), count.astype("<u4" if wide else "u1"))
-    cols = [[], [], [], [], []]
-    for a, b, x, y in zip(first[:-1], first[1:], edge[:-1], edge[1:], strict=True):
-        for k, f in enumerate(fields):
-            cols[k].append((f[a:b] if k < 2 else f[x:y]).tobytes())
-    rows = len(first) - 1
-    return pa.RecordBatch.from_arrays([pa.array(part[first[:-1]], pa.int64()), pa.array([block] * rows, pa.int64()), *(pa.array(c, pa.binary()) for c in cols)], PACKED)
+def _among(keys: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """The place of each value among ascending keys, or -1."""
+    at = np.minimum(np.searchsorted(keys, values), max(len(keys) - 1, 0))
+    return np.where(keys[at] == values, at, -1) if len(keys) else np.full(len(values), -1)
+
+
+def _spread(keys: np.ndarray, parts: int) -> np.ndarray:
+    return (((keys >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
+
+
+PACKED = ["part", "block", "words", "near", "far", "word", "mark", "count"]
+PACKED_SCHEMA = "part long, block long, words binary, near binary, far binary, word binary, mark binary, count binary"
+
+
+def _row(part: int, block: int, *fields: np.ndarray | None) -> pa.RecordBatch:
+    cells = [pa.array([None if x is None else _squeezed(x)], pa.binary()) for x in (*fields, *[None] * (6 - len(fields)))]
+    return pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([block], pa.int64()), *cells], PACKED)
+
+
+def _squeezed(x: np.ndarray) -> bytes:
+    """Whole numbers in as few bytes as they need, the first bytes of all, then the second ones, compressed."""
+    most = int(x.max(initial=0))
+    x = x.ravel().astype("u1" if most < 1 << 8 else "<u2" if most < 1 << 16 else "<u4" if most < 1 << 32 else "<u8")
+    planes = x.view("u1").reshape(-1, x.itemsize).T.tobytes()
+    return bytes([x.itemsize]) + len(x).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
+
+
+def _read(cell: bytes | pa.Scalar) -> np.ndarray:
+    raw = cell if isinstance(cell, bytes) else cell.as_buffer().to_pybytes()
+    size, n = raw[0], int.from_bytes(raw[1:9], "little")
+    planes = np.frombuffer(pa.decompress(raw[9:], decompressed_size=size * n, codec="zstd"), "u1")
+    return np.ascontiguousarray(planes.reshape(size, n).T).view(f"<u{size}").ravel()
+
+
+def _pack(block: int, word: np.ndarray, starts: np.ndarray, mark: np.ndarray, frequent: np.ndarray, parts: int, group: tuple[int, int]) -> Iterator[pa.RecordBatch]:
+    """Rows for each part: its words, and of each distinct (nearer word, word, farther word, mark) the places and the count. starts: first tokens of texts; group: only parts that leave its first number modulo its second."""
+
+    def part_of(near: np.ndarray, word: np.ndarray) -> np.ndarray:
+        return _spread(mix(np.where(_among(frequent, near) >= 0, mix(near) + word, near)), parts)
+
+    near = np.roll(word, 1)
+    near[starts] = START
+    far = np.roll(near, 1)
+    far[starts] = START
+    for lo in range(0, len(word), CHUNK):
+        hi = min(len(word), lo + CHUNK)
+        known, place = np.unique(np.concatenate([[far[lo], near[lo]], word[lo:hi], [START]]), return_inverse=True)
+        n, f = (np.where(x[lo:hi] == START, place[-1], p) for x, p in ((near, place[1:-2]), (far, place[:-3])))
+        w, m = place[2:-1], mark[lo:hi]
+        some = part_of(near[lo:hi], word[lo:hi]) % group[1] == group[0]
+        n, f, w, m = n[some], f[some], w[some], m[some]
+        if not len(w):
+            continue
+        pairs, pair = np.unique((n << 32) | w, return_inverse=True)
+        part = part_of(known[pairs >> 32], known[pairs & 0xFFFFFFFF])
+        order = np.argsort(part, kind="stable")
+        rank = np.empty_like(order)
+        rank[order] = np.arange(len(order))
+        key, count = np.unique((rank[pair].astype(np.uint64) << np.uint64(40)) | (f.astype(np.uint64) << np.uint64(16)) | m.astype(np.uint64), return_counts=True)
+        pair = order[(key >> np.uint64(40)).astype(np.int64)]
+        places = [pairs[pair] >> 32, ((key >> np.uint64(16)) & np.uint64(0xFFFFFF)).astype(np.int64), pairs[pair] & 0xFFFFFFFF]
+        mark_ = (key & np.uint64(0xFFFF)).astype("<u2")
+        own = part[pair]
+        edge = np.append(_runs(own), len(own))
+        used, local = np.zeros(len(known), bool), np.zeros(len(known), np.int64)
+        for x, y in zip(edge[:-1], edge[1:], strict=True):
+            for p in places:
+                used[p[x:y]] = True
+            here = np.flatnonzero(used)
+            used[here], local[here] = False, np.arange(len(here))
+            near, far, w = (local[p[x:y]] for p in places)
+            often = np.argsort(-np.bincount(np.concatenate([far, w]), minlength=len(here)), kind="stable")  # common words have small places
+            to = np.empty_like(often)
+            to[often] = np.arange(len(here))
+            yield _row(int(own[x]), block, known[here[often]], to[near], to[far], to[w], mark_[x:y], count[x:y])
+
+
+class Part:
+    """All types of a part, in order of nearer word, word and farther word, and where their entries are."""
+
+    def __init__(self, rows: list[pa.RecordBatch], frequent: np.ndarray):
+        known = [_read(b.column(2)[0]).astype(np.uint64) for b in rows]
+        self.words, place = np.unique(np.concatenate(known), return_inverse=True)
+        columns: list[list] = [[], [], [], [], [], []]
+        for b, own in zip(rows, np.split(place, np.cumsum(list(map(len, known)))[:-1]), strict=True):
+            mark = _read(b.column(6)[0])
+            for c, x in zip(columns, [*(own[_read(b.column(c)[0])] for c in (3, 4, 5)), mark, _read(b.column(7)[0]), np.full(len(mark), b.column(1)[0].as_py())], strict=True):
+                c.append(x)
+        near, far, word, self.mark, self.count, self.block = map(np.concatenate, columns)
+        self.count = self.count.astype(np.int64)
+        del columns, place, known
+        self.pairs, pair = np.unique((near << 32) | word, return_inverse=True)
+        types, self.at = np.unique((pair << 32) | far, return_inverse=True)
+        train = self.mark >= TRAIN_BIT
+        self.n = np.bincount(self.at[train], self.count[train], len(types)).astype(np.int64)  # training customers
+        self.pair, self.far = types >> 32, types & 0xFFFFFFFF
+        self.word, near = self.pairs & 0xFFFFFFFF, self.pairs >> 32
+        self.near, self.of_near = np.unique(near, return_inverse=True)  # contexts of one word, and of each pair its own
+        contexts, self.of_context = np.unique((self.of_near[self.pair] << 32) | self.far, return_inverse=True)
+        self.context_near = contexts >> 32
+        self.hot = _among(frequent, self.words[self.near]) >= 0
+        self.hot_context = self.hot[self.context_near]
+        self.own_words, self.of_word = np.unique(self.word, return_inverse=True)
+        keys = [self.words[self.own_words], mix(self.words[self.near[self.hot]] + np.uint64(7)), mix(mix(self.words[self.near[self.context_near[self.hot_context]]]) + self.words[contexts[self.hot_context] & 0xFFFFFFFF])]
+        self.kinds = np.repeat(np.arange(3), list(map(len, keys)))
+        self.keys = np.concatenate(keys)
+
+    def ask(self, part: int, parts: int, *numbers: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Rows for the slots that sum the numbers (columns of one for each key); each key of this part is in one."""
+        slot = _spread(mix(self.keys), parts)
+        order = np.argsort(slot, kind="stable")
+        edge = np.append(_runs(slot[order]), len(order))
+        for x, y in zip(edge[:-1], edge[1:], strict=True):
+            at = order[x:y]
+            yield _row(int(slot[at[0]]), part, self.keys[at], self.kinds[at], np.stack([c[at] for c in numbers]).astype(np.int64))
+
+    def answers(self, rows: list[pa.RecordBatch]) -> np.ndarray:
+        """The sums of all parts for this part's keys, a row for each number."""
+        parts = [[_read(b.column(c)[0]) for c in (2, 3, 4)] for b in rows]
+        key, kind = np.concatenate([x[0].astype(np.uint64) for x in parts]), np.concatenate([x[1] for x in parts])
+        sums = np.concatenate([x[2].astype(np.int64).reshape(-1, len(x[0])) for x in parts], axis=1)
+        to, back = np.lexsort((self.keys, self.kinds)), np.lexsort((key, kind))
+        if not (np.array_equal(self.keys[to], key[back]) and np.array_equal(self.kinds[to], kind[back])):
+            raise ValueError("sums and keys of a part differ")
+        out = np.empty_like(sums)
+        out[:, to] = sums[:, back]
+        return out
+
+    def of_words(self, x: np.ndarray) -> np.ndarray:
+        """Numbers of the words' keys, by pair."""
+        return x[self.kinds == 0][self.of_word]
+
+    def by_key(self, words_: np.ndarray, near: np.ndarray, contexts: np.ndarray) -> np.ndarray:
+        """A number for each key, from one for each pair (summed by word), nearer word and context."""
+        return np.concatenate([np.bincount(self.of_word, words_, len(self.own_words)), near[self.hot], contexts[self.hot_context]])
+
+    def whole(self, here: tuple[np.ndarray, np.ndarray], sums: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Totals of nearer words and of contexts: those of all parts where the nearer word is frequent."""
+        near, context = (x.astype(float) for x in here)
+        near[self.hot], context[self.hot_context] = sums[0][self.kinds == 1], sums[1][self.kinds == 2]
+        return near, context
+
+    def totals(self, by_pair: np.ndarray, by_type: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return np.bincount(self.of_near, by_pair, len(self.near)), np.bincount(self.of_context, by_type, len(self.context_near))
+
+    def per_pair(self, by_type: np.ndarray) -> np.ndarray:
+        return np.bincount(self.pair, by_type, len(self.pairs))
+
+    def counted(self) -> tuple[np.ndarray, np.ndarray]:
+        """Training tokens, and distinct nearer words before each word, by key."""
+        n = self.per_pair(self.n)
+        return self.by_key(n, *self.totals(n, self.n)), self.by_key(n > 0, np.zeros(len(self.near)), np.zeros(len(self.context_near)))
+
+    def sample(self, s: Setting, sums: np.ndarray, root: Root, random: np.random.Generator) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Tables of types, customers and tables of pairs in the last sweeps. sums: of counted() over all parts.
+
+        The root is kept as it is with a table for each pair. Totals of contexts of which other parts have a share are
+        reckoned from those here, by tokens.
+        """
+        p1 = root.probability(s, self.of_words(sums[1]), np.minimum(self.of_words(sums[1]), 1), 0)
+        here = self.totals(self.per_pair(self.n), self.n)
+        up, up_context = (np.divide(a, b, out=np.zeros(len(b)), where=b > 0) for a, b in zip(self.whole(here, (sums[0], sums[0])), here, strict=True))
+        t3 = np.minimum(self.n, 1)
+        k2 = self.per_pair(t3).astype(np.int64)
+        t2 = np.minimum(k2, 1)
+        out = []
+        for sweep in range(s.sweeps):
+            opened, opened_context = self.totals(t2, t3)
+            weight = (s.strength + s.discount * opened * up)[self.of_near] * p1
+            p2 = (k2 - s.discount * t2 + weight) / (s.strength + np.bincount(self.of_near, k2, len(up)) * up)[self.of_near]
+            t3 = draw_tables(self.n, (s.strength + s.discount * opened_context * up_context)[self.of_context] * p2[self.pair], s.discount, random)
+            k2 = self.per_pair(t3).astype(np.int64)
+            t2 = draw_tables(k2, weight, s.discount, random)
+            if sweep >= s.sweeps - s.samples:
+                out.append((t3, k2, t2))
+        return out
+
+    def seated(self, samples: list) -> list[np.ndarray]:
+        """By key: customers in each sample, then tables (of words: none, the root draws them)."""
+        nothing, none = np.zeros(len(self.pairs)), np.zeros(len(self.context_near))
+        customers = [self.by_key(t2, self.totals(k2, t3)[0], none) for t3, k2, t2 in samples]
+        return customers + [self.by_key(nothing, *self.totals(t2, t3)) for t3, k2, t2 in samples]
+
+    def log10(self, s: Setting, samples: list, sums: np.ndarray, root: Root) -> np.ndarray:
+        """Averaged predictive log10 probability of each type. sums: training tokens and seated() over all parts."""
+        total = np.zeros(len(self.n))
+        for i, (t3, k2, t2) in enumerate(samples):
+            customers, tables = sums[2 + i], sums[2 + s.samples + i]
+            p = root.probability(s, self.of_words(customers), self.of_words(tables), i)
+            held, held_context = self.whole(self.totals(k2, self.n), (customers, sums[0]))
+            opened, opened_context = self.whole(self.totals(t2, t3), (tables, tables))
+            p = (k2 - s.discount * t2 + (s.strength + s.discount * opened)[self.of_near] * p) / (s.strength + held)[self.of_near]
+            total += (self.n - s.discount * t3 + (s.strength + s.discount * opened_context)[self.of_context] * p[self.pair]) / (s.strength + held_context)[self.of_context]
+        return np.log10(total / len(samples))
+
 
+@dataclass
+class Root:
+    """Words, and in each sample customers and tables of the root."""
 
-PACKED = ["part", "block", "words", "per_word", "context", "text", "count"]
-PACKED_SCHEMA = "part long, block long, words binary, per_word binary, context binary, text binary, count binary"
+    vocabulary: int
+    customers: list
+    tables: list
 
+    def probability(self, s: Setting, customers: np.ndarray, tables: np.ndarray, sample: int) -> np.ndarray:
+        return (customers - s.root_discount * tables + (s.root_strength + s.root_discount * self.tables[sample]) / (self.vocabulary + 1)) / (s.root_strength + self.customers[sample])
 
-class Entries:
-    """All entries of a part, in order of word and context."""
 
-    def __init__(self, batches: Iterator[pa.RecordBatch]):
-        word, context, text, count, block = [], [], [], [], []
+def _summed(asked: DataFrame, parts: int, setting: Setting, vocabulary: int | None) -> tuple[DataFrame, np.ndarray]:
+    """The sums of all parts for the keys of each part, and of the words' keys: how many were trained on, and the sum of each number. vocabulary: draws the words' tables in the root."""
+    samples = setting.samples
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by: dict = {}
         for b in batches:
-            for k in range(len(b)):
-                x = [b.column(c)[k].as_buffer() for c in range(2, 7)]
-                per = np.frombuffer(x[1], "<u4")
-                u = np.frombuffer(x[2], "<u2")
-                word.append(np.repeat(np.frombuffer(x[0], np.uint64), per))
-                context.append(u)
-                text.append(np.frombuffer(x[3], "<u2"))
-                count.append(np.frombuffer(x[4], "u1" if x[4].size == len(u) else "<u4").astype(np.uint32))
-                block.append(np.full(len(u), b.column(1)[k].as_py()))
-        join = lambda xs, kind: np.concatenate(xs) if xs else np.zeros(0, kind)
-        self.words, g = np.unique(join(word, np.uint64), return_inverse=True)
-        context = join(context, "<u2")
-        self.train = context >= TRAIN_BIT
-        self.context = (context & (TRAIN_BIT - 1)).astype(np.int64)
-        self.word, self.text, self.count, self.block = g, join(text, "<u2"), join(count, np.uint32), join(block, np.int64)
-
-    def seating(self) -> tuple[Seating, np.ndarray, np.ndarray]:
-        """Unsampled seating of the training entries, the types' keys, and each of the words' places among the seated ones."""
-        key = (self.word.astype(np.int64) << 16) | self.context
-        types, at = np.unique(key[self.train], return_inverse=True)
-        customers = np.bincount(at, self.count[self.train], len(types)).astype(np.int64)
-        seen, w = np.unique(types >> 16, return_inverse=True)
-        place = np.full(len(self.words), -1)
-        place[seen] = np.arange(len(seen))
-        return Seating(w, types & 0xFFFF, customers, len(seen)), types, place
+            for k, slot in enumerate(b.column(0).to_pylist()):
+                by.setdefault(slot, []).append(b.slice(k, 1))
+        for slot in sorted(by):
+            rows = sorted(by.pop(slot), key=lambda b: b.column(1)[0].as_py())
+            key, kind = [_read(b.column(2)[0]).astype(np.uint64) for b in rows], [_read(b.column(3)[0]) for b in rows]
+            width = 2 if vocabulary is None else 2 + 2 * samples
+            numbers = [_read(b.column(4)[0]).reshape(width, -1) for b in rows]
+            edge = np.cumsum([0, *map(len, key)])
+            first, at = np.unique(np.concatenate(key) ^ np.concatenate(kind).astype(np.uint64), return_inverse=True)
+            is_word = np.zeros(len(first), bool)
+            is_word[at[np.concatenate(kind) == 0]] = True
+            sums = np.stack([np.bincount(at, np.concatenate([n[c] for n in numbers]), len(first)) for c in range(width)]).astype(np.int64)
+            if vocabulary is not None:
+                random = np.random.default_rng([setting.seed, 2**31, slot])
+                pull = np.full(int(is_word.sum()), (setting.root_strength + setting.root_discount * vocabulary) / (vocabulary + 1))
+                for i in range(samples):
+                    sums[2 + samples + i, is_word] = draw_tables(sums[2 + i, is_word], pull, setting.root_discount, random)
+            for x, y, b, k, d in zip(edge[:-1], edge[1:], rows, key, kind, strict=True):
+                yield _row(b.column(1)[0].as_py(), -1, k, d, sums[:, at[x:y]])
+            yield _row(-1, -1, None, None, np.append((sums[0, is_word] > 0).sum(), sums[:, is_word].sum(1)))
+
+    out = stored(asked.repartition(parts, "part").mapInArrow(add, PACKED_SCHEMA), "sums")
+    totals = [_read(bytes(r[0])).astype(np.int64) for r in out.where("part < 0").select("far").collect()]  # a row for each slot
+    return out.where("part >= 0"), np.sum(totals, axis=0) if totals else np.zeros(3 + (0 if vocabulary is None else 2 * samples), np.int64)
+
+
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, list]]:
+    """Of each part the rows of entries and the sums for its keys."""
+    by: dict = {}
+    for b in batches:
+        for k, part in enumerate(b.column(0).to_pylist()):
+            by.setdefault(part, ([], []))[0 if b.column(5)[k].is_valid else 1].append(b.slice(k, 1))
+    for part in sorted(by):
+        yield part, *by.pop(part)
 
 
 @dataclass
@@ -260,111 +444,78 @@ class Model:
     frequent: np.ndarray
     tokens: int  # in training
     parts: int
-    reckoned: np.ndarray  # customers of each context, for the sweeps
-    n_contexts: int
-    share: float  # of the tokens of words that aren't frequent
-    vocabulary: int = 0
-    customers: np.ndarray | None = None  # of each context
-    totals: np.ndarray | None = None
-    frequent_counts: np.ndarray | None = None
-    frequent_log: np.ndarray | None = None  # by context and frequent word
-
-
-def _seat(m: Model, part: int, e: Entries) -> tuple[Seating, np.ndarray, np.ndarray]:
-    seating, types, place = e.seating()
-    here = float(seating.customers.sum())
-    rare = max(m.share * m.tokens, 1.0)
-    seating.sample(m.setting, m.reckoned, max(here / rare, 1e-12) * m.share if m.share else 1.0, seating.n_words * rare / max(here, 1.0) + len(m.frequent), np.random.default_rng([m.setting.seed, part]))
-    return seating, types, place
-
-
-def fit(texts: DataFrame, setting: Setting, part_tokens: int = 2_000_000) -> Model:
-    """The model's totals. texts: text and train."""
-    frequent, about, tokens = _survey(texts)
-    n_contexts = len(frequent) + 2
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matrix = np.zeros(n_contexts * max(len(frequent), 1), np.int64)
+    first: Root | None = None  # with a table for each pair
+    root: Root | None = None
+
+    def sampled(self, part: int, p: Part, sums: np.ndarray) -> list:
+        return p.sample(self.setting, sums, self.first, np.random.default_rng([self.setting.seed, part]))
+
+
+def fit(texts: DataFrame, setting: Setting, part_tokens: int = 2_000_000) -> tuple[Model, DataFrame]:
+    """The model's totals, and the sums that each part needs. texts: text and train."""
+    spark = texts.sparkSession
+    frequent, _, tokens = _survey(texts)
+    frequent = np.union1d(frequent, [START]).astype(np.uint64)
+    parts = int(2 * tokens // part_tokens) + 1  # a part also holds the types of texts that are held out
+
+    def count(batches: Iterator[pa.RecordBatch], group: int) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            word, starts, mark = zip(*held, strict=True)
+            before = np.cumsum([0, *map(len, word)])
+            yield from _pack(0, np.concatenate(word), np.concatenate([a + b for a, b in zip(starts, before, strict=False)]), np.concatenate(mark), frequent, parts, (group, COUNTED))
+
         for b in batches:
             data, bounds = buffers(b.column(0))
+            train = np.asarray(b.column(1).to_numpy(zero_copy_only=False), bool)
             for i, j in slices(bounds, SLICE_BYTES):
-                t = Tokens(frequent, data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i])
-                often = t.place >= 0
-                matrix += np.bincount(t.context[often] * max(len(frequent), 1) + t.place[often], minlength=len(matrix))
-                rare = ~often
-                held.append((t.word[rare], t.context[rare] | TRAIN_BIT))
-                size += int(rare.sum())
+                h, at = token_hashes(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i])
+                held.append((h, at[:-1], np.repeat(np.where(train[i:j], TRAIN_BIT, 0).astype("<u2"), np.diff(at))))
+                size += len(h)
                 if size > FLUSH_TOKENS:
-                    yield _pack(0, *(np.concatenate(x) for x in zip(*held, strict=True)), 0, parts)
+                    yield from out()
                     held, size = [], 0
-        if size:
-            yield _pack(0, *(np.concatenate(x) for x in zip(*held, strict=True)), 0, parts)
-        cell = np.flatnonzero(matrix)
-        for k in range(0, len(cell), 1 << 16):
-            some = cell[k : k + (1 << 16)]
-            at = some % SPREAD
-            order = np.argsort(at, kind="stable")
-            some, at = some[order], at[order]
-            edge = np.append(_runs(at), len(at))
-            rows = len(edge) - 1
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(-1 - at[edge[:-1]], pa.int64()), pa.array([0] * rows, pa.int64()), pa.array([some[x:y].astype("<u4").tobytes() for x, y in zip(edge[:-1], edge[1:], strict=True)], pa.binary()), pa.array([matrix[some[x:y]].astype("<i8").tobytes() for x, y in zip(edge[:-1], edge[1:], strict=True)], pa.binary()), *(pa.nulls(rows, pa.binary()) for _ in range(3))],
-                PACKED,
-            )
-
-    parts = int(tokens // part_tokens) + 1
-    # Customers of a context are the count of its word; the start has one for each end token.
-    end = np.flatnonzero(frequent == END)
-    reckoned = np.concatenate([[0, about[end[0]] if len(end) else 1], about])
-    model = Model(setting, frequent, tokens, parts, reckoned, n_contexts, float(1 - min(about.sum() / max(tokens, 1), 1)))
+        if held:
+            yield from out()
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, rows, _ in _grouped(batches):
+            p = Part(rows, frequent)
+            order = p.pairs[p.pair]
+            yield _row(part, 0, p.words, order >> 32, p.far, order & 0xFFFFFFFF, np.full(len(p.n), TRAIN_BIT), p.n)
+            yield from p.ask(part, parts, *p.counted())
 
     def seat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Totals of the seating in each part; of parts under 0 the counts of pairs of frequent words."""
-        by: dict = {}
-        cells = np.zeros(n_contexts * max(len(frequent), 1), np.int64)
-        for b in batches:
-            for k, part in enumerate(b.column(0).to_pylist()):
-                if part < 0:
-                    np.add.at(cells, np.frombuffer(b.column(2)[k].as_buffer(), "<u4"), np.frombuffer(b.column(3)[k].as_buffer(), "<i8"))
-                else:
-                    by.setdefault(part, []).append(b.slice(k, 1))
-        cell = np.flatnonzero(cells)
-        if len(cell):
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int32()), pa.nulls(1, pa.int64()), pa.array([cell.astype("<u4").tobytes()]), pa.array([cells[cell].astype("<i8").tobytes()])], ["at", "n", "cells", "counts"])
-        for part in sorted(by):
-            seating, _, _ = _seat(model, part, Entries(iter(by.pop(part))))
-            totals = seating.totals(n_contexts).astype(np.int64)
-            customers = np.bincount(seating.context, seating.customers, n_contexts).astype(np.int64)
-            both = np.concatenate([totals.ravel(), customers, [seating.n_words]])
-            at = np.flatnonzero(both)
-            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(both[at]), pa.nulls(len(at), pa.binary()), pa.nulls(len(at), pa.binary())], ["at", "n", "cells", "counts"])
-
-    dealt = texts.where("train").select("text").mapInArrow(count, PACKED_SCHEMA)
-    seated = stored(dealt.repartition(parts, "part").mapInArrow(seat, "at int, n long, cells binary, counts binary"), "seated")
-    release(texts.sparkSession)
-    matrix = np.zeros((n_contexts, max(len(frequent), 1)), np.int64)
-    for cells, counts in seated.where("cells is not null").select("cells", "counts").collect():  # a cell for each pair of frequent words
-        np.add.at(matrix.reshape(-1), np.frombuffer(bytes(cells), "<u4"), np.frombuffer(bytes(counts), "<i8"))
-    matrix = matrix[:, : len(frequent)]
-    model.frequent_counts = matrix.sum(0)
-    sums = np.zeros(setting.samples * (n_contexts + 2) + n_contexts + 1, np.int64)
-    for at, n in seated.where("at is not null").groupBy("at").agg(F.sum("n")).collect():  # a row for each sample and context
-        sums[at] = n
-    u, w = np.nonzero(matrix)
-    order = np.lexsort((u, w))
-    own = Seating(w[order], u[order].astype(np.int64), matrix[u, w][order], len(frequent))
-
-    totals = sums[: setting.samples * (n_contexts + 2)].reshape(setting.samples, -1).astype(float)
-    model.vocabulary = int(sums[-1]) + int((model.frequent_counts > 0).sum())
-    own.sample(setting, reckoned, max(1 - model.share, 1e-12), max(model.vocabulary, 1), np.random.default_rng([setting.seed, 2**31]))
-    model.totals = totals + own.totals(n_contexts)
-    model.customers = sums[setting.samples * (n_contexts + 2) : -1] + matrix.sum(1)
-    grid_u, grid_w = (x.ravel() for x in np.meshgrid(np.arange(n_contexts), np.arange(len(frequent)), indexing="ij"))
-    type_ = np.full(matrix.shape, -1)
-    type_[own.context, own.word] = np.arange(len(own.word))
-    model.frequent_log = own.log10(setting, model.customers, model.totals, model.vocabulary, grid_w, grid_u, type_.ravel()).reshape(matrix.shape)
-    return model
+        for part, rows, answers in _grouped(batches):
+            p = Part(rows, frequent)
+            samples = model.sampled(part, p, p.answers(answers))
+            yield from p.ask(part, parts, *p.counted(), *p.seated(samples))
+
+    model = Model(setting, frequent, tokens, parts)
+    paths, types = [], None
+    for group in range(COUNTED):
+        dealt = texts.select("text", "train").mapInArrow(partial(count, group=group), PACKED_SCHEMA)
+        some = stored(dealt.repartition(parts, "part").mapInArrow(gather, PACKED_SCHEMA), "types")
+        paths.append(written()[-1])
+        release(spark)
+        types = some if types is None else types.unionAll(some)
+    first, totals = _summed(types.where("word is null"), parts, setting, None)
+    paths.append(written()[-1])
+    done = len(paths)
+    model.first = Root(int(totals[0]), [int(totals[2])], [int(totals[0])])
+    asked = None
+    for group in range(GROUPS):
+        own = types.where("word is not null").unionAll(first).where(F.col("part") % GROUPS == group)
+        some = stored(own.repartition(parts, "part").mapInArrow(seat, PACKED_SCHEMA), "seated")
+        paths.append(written()[-1])
+        release(spark)
+        asked = some if asked is None else asked.unionAll(some)
+    discard(spark, paths[:done])
+    sums, totals = _summed(asked, parts, setting, model.first.vocabulary)
+    model.root = Root(int(totals[0]), totals[3 : 3 + setting.samples].tolist(), totals[3 + setting.samples :].tolist())
+    discard(spark, paths[done:])
+    return model, sums
 
 
 def scores(docs: DataFrame, setting: Setting | None = None, part_tokens: int = 2_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -379,25 +530,27 @@ def scores(docs: DataFrame, setting: Setting | None = None, part_tokens: int = 2
     setting = setting or Setting()
     bounded_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), _training(F.col(id_col)).alias("train"))
-    m = fit(texts, setting, part_tokens)
+    m, sums = fit(texts, setting, part_tokens)
+    sums_path = written()[-1]
     release(docs.sparkSession)
     id_kind = docs.schema[id_col].dataType.simpleString()
-    all_ = m.tokens + m.vocabulary + 1
+    all_ = m.tokens + m.root.vocabulary + 1
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Entries of words that aren't frequent, and for each block a row (part -1) of its texts with what is known of them here."""
+    def deal(batches: Iterator[pa.RecordBatch], group: int) -> Iterator[pa.RecordBatch]:
+        """Entries of all tokens of a group, and in the first one for each block a row (part -1) of its texts."""
         held, ids, known, size, flush = [], [], [], 0, 0
-        logs = np.log10((m.frequent_counts + 1) / all_)
 
         def out() -> Iterator[pa.RecordBatch]:
             block = (TaskContext.get().partitionId() << 20) + flush
-            word, context, text = (np.concatenate(x) for x in zip(*held, strict=True))
-            if len(word):
-                yield with_ids(_pack(block, word, context, text, m.parts), None)
-            own = pa.concat_arrays(ids)
+            word, starts, mark = zip(*held, strict=True)
+            before = np.cumsum([0, *map(len, word)])
+            for row in _pack(block, np.concatenate(word), np.concatenate([a + b for a, b in zip(starts, before, strict=False)]), np.concatenate(mark), m.frequent, m.parts, (group, GROUPS)):
+                yield with_ids(row, None)
+            if group:
+                return
             numbers = np.concatenate(known).astype("<f8").tobytes()
-            row = pa.RecordBatch.from_arrays([pa.array([-1], pa.int64()), pa.array([block], pa.int64()), pa.array([numbers], pa.binary()), *(pa.nulls(1, pa.binary()) for _ in range(4))], PACKED)
-            yield with_ids(row, own)
+            row = pa.RecordBatch.from_arrays([pa.array([-1], pa.int64()), pa.array([block], pa.int64()), pa.array([numbers], pa.binary()), *(pa.nulls(1, pa.binary()) for _ in range(5))], PACKED)
+            yield with_ids(row, pa.concat_arrays(ids))
 
         def with_ids(b: pa.RecordBatch, own: pa.Array | None) -> pa.RecordBatch:
             lists = pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), own) if own is not None else pa.nulls(len(b), pa.list_(id_type[0]))
@@ -411,54 +564,47 @@ def scores(docs: DataFrame, setting: Setting | None = None, part_tokens: int = 2
             for i, j in slices(bounds, SLICE_BYTES):
                 for lo in range(i, j, FLUSH_DOCS // 2):
                     hi = min(j, lo + FLUSH_DOCS // 2)
-                    t = Tokens(m.frequent, data[bounds[lo] : bounds[hi]], bounds[lo : hi + 1] - bounds[lo])
+                    h, at = token_hashes(data[bounds[lo] : bounds[hi]], bounds[lo : hi + 1] - bounds[lo])
                     docs_held = sum(map(len, ids))
                     if docs_held and (size > FLUSH_TOKENS or docs_held + hi - lo > FLUSH_DOCS):
                         yield from out()
                         held, ids, known, size, docs_held, flush = [], [], [], 0, 0, flush + 1
-                    often = t.place >= 0
-                    rare = ~often
-                    held.append((t.word[rare], t.context[rare] | np.where(train[lo:hi][t.text[rare]], TRAIN_BIT, 0), t.text[rare] + docs_held))
-                    n = hi - lo
-                    place, text = t.place[often], t.text[often]
-                    part = [np.diff(t.at), np.bincount(text, m.frequent_counts[place] > 0, n), np.bincount(text, logs[place], n), np.bincount(text, m.frequent_log[t.context[often], place], n), ~train[lo:hi]]
-                    known.append(np.stack(part, 1).astype(float))
+                    held.append((h, at[:-1], np.repeat((np.arange(docs_held, docs_held + hi - lo) | np.where(train[lo:hi], TRAIN_BIT, 0)).astype("<u2"), np.diff(at))))
+                    none = np.zeros(hi - lo)
+                    known.append(np.stack([np.diff(at), none, none, none, ~train[lo:hi]], 1).astype(float))
                     ids.append(b.column(0)[lo:hi])
-                    size += int(rare.sum())
+                    size += len(h)
         if ids:
             yield from out()
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Sums over the words of a part for each text of each block; rows of texts pass."""
-        by: dict = {}
-        for b in batches:
-            for k, part in enumerate(b.column(0).to_pylist()):
-                if part < 0:
-                    yield pa.RecordBatch.from_arrays([b.column(1)[k : k + 1], b.column(2)[k : k + 1], pa.nulls(1, pa.binary()), b.column(7)[k : k + 1]], ["block", "numbers", "text", "ids"])
-                else:
-                    by.setdefault(part, []).append(b.slice(k, 1))
-        for part in sorted(by):
-            rows = by.pop(part)
-            ids_type = rows[0].column(7).type
-            e = Entries(iter(rows))
-            del rows
-            seating, types, place = _seat(m, part, e)
-            w = place[e.word]
-            c = np.bincount(seating.word, seating.customers, seating.n_words)
-            count = np.where(w >= 0, c[np.maximum(w, 0)] if len(c) else 0, 0)
-            key = (e.word.astype(np.int64) << 16) | e.context
-            at = np.minimum(np.searchsorted(types, key), max(len(types) - 1, 0))
-            type_ = np.where(types[at] == key, at, -1) if len(types) else np.full(len(key), -1)
-            log = seating.log10(setting, m.customers, m.totals, m.vocabulary, w, e.context, type_)
-            numbers = np.stack([e.count * (count > 0), e.count * np.log10((count + 1) / all_), e.count * log], 1)
-            order = np.lexsort((e.text, e.block))
-            block, text, numbers = e.block[order], e.text[order], numbers[order]
+        """Sums over the tokens of a part for each text of each block; rows of texts pass."""
+        passed = []
+
+        def parts() -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                own = np.array(b.column(0).to_pylist(), np.int64) >= 0
+                for k in np.flatnonzero(~own):
+                    passed.append(pa.RecordBatch.from_arrays([b.column(1)[k : k + 1], b.column(2)[k : k + 1], pa.nulls(1, pa.binary()), b.column(8)[k : k + 1]], ["block", "numbers", "text", "ids"]))
+                yield b.filter(pa.array(own))
+
+        for part, rows, answers in _grouped(parts()):
+            ids_type = (rows or answers)[0].column(8).type
+            p = Part(rows, m.frequent)
+            totals = p.answers(answers)
+            log = p.log10(setting, m.sampled(part, p, totals), totals, m.root)
+            count = p.of_words(totals[0])[p.pair][p.at]
+            text = (p.mark & np.uint16(TRAIN_BIT - 1)).astype(np.int64)
+            numbers = np.stack([p.count * (count > 0), p.count * np.log10((count + 1) / all_), p.count * log[p.at]], 1)
+            order = np.lexsort((text, p.block))
+            block, text, numbers = p.block[order], text[order], numbers[order]
             edge = _runs((block << 16) | text)
             numbers = np.add.reduceat(numbers, edge, axis=0)
             block, text = block[edge], text[edge]
             first = np.append(_runs(block), len(block))
             for x, y in zip(first[:-1], first[1:], strict=True):
                 yield pa.RecordBatch.from_arrays([pa.array([block[x]], pa.int64()), pa.array([numbers[x:y].astype("<f8").tobytes()], pa.binary()), pa.array([text[x:y].astype("<u2").tobytes()], pa.binary()), pa.nulls(1, ids_type)], ["block", "numbers", "text", "ids"])
+        yield from passed
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict = {}
@@ -479,6 +625,14 @@ def scores(docs: DataFrame, setting: Setting | None = None, part_tokens: int = 2
 
     packed = f"{PACKED_SCHEMA}, ids array<{id_kind}>"
     where = F.when(F.col("part") < 0, F.xxhash64("block")).otherwise(F.col("part"))
-    summed = texts.mapInArrow(deal, packed).repartition(m.parts, where).mapInArrow(score, f"block long, numbers binary, text binary, ids array<{id_kind}>")
+    summed_kind = f"block long, numbers binary, text binary, ids array<{id_kind}>"
+    summed = None
+    for group in range(GROUPS):
+        own = sums.where(F.col("part") % GROUPS == group).withColumn("ids", F.lit(None).cast(f"array<{id_kind}>"))
+        entries = texts.mapInArrow(partial(deal, group=group), packed).unionAll(own)
+        some = stored(entries.repartition(m.parts, where).mapInArrow(score, summed_kind), "scored")
+        release(docs.sparkSession)
+        summed = some if summed is None else summed.unionAll(some)
+    discard(docs.sparkSession, [sums_path])
     done = summed.repartition(m.parts, "block").mapInArrow(finish, f"doc_id {id_kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return done.withColumn("train_tokens", F.lit(m.tokens).cast("long")).withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens"))).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")

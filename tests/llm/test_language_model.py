@@ -91,3 +91,19 @@ def test_seating_follows_the_restaurant_process():
             p = after
         drawn = pitman_yor.draw_tables(np.full(20000, n), np.full(20000, pull), 0.5, rng)
         assert drawn.mean() == pytest.approx(sum(t * q for t, q in p.items()), rel=0.02)
+
+
+def test_every_context_counts(spark):
+    """Words too rare for the frequent ones decide what follows them, and a pair of words decides more than the nearer one."""
+    r = random.Random(6)
+    follows = {f"c{i}": f"n{i}" for i in range(1500)}  # each holds less than a 1024th of all tokens
+    chain = [" ".join(f"{c} {follows[c]}" for c in r.choices(list(follows), k=20)) for _ in range(1200)]
+    pairs = [" ".join(r.choice(("a x p", "b x q")) for _ in range(20)) for _ in range(300)]
+    docs = list(enumerate(chain + pairs))
+    got = pitman_yor.scores(spark.createDataFrame(docs, "doc_id long, text string"), part_tokens=20_000).collect()
+    check_counts(docs, got)
+    out = [x for x in got if x.held_out and x.doc_id < 1200]
+    # The 20 words after a rare context cost little; the contexts themselves are drawn from 1500.
+    assert sum(x.score for x in out) / sum(x.n_tokens for x in out) > -0.5 * math.log10(1500) - 0.4
+    out = [x for x in got if x.held_out and x.doc_id >= 1200]
+    assert sum(x.score for x in out) / sum(x.n_tokens for x in out) > -0.25
