@@ -84,6 +84,36 @@ def maybe_among(keys: DataFrame, column: str, slots: int = 1 << 20):
     return test
 
 
+class Slots:
+    """A filter by the keys of a stored table: lets through all rows whose key may be among them, for a join that decides.
+
+    A bit for each hash slot, 16 slots or more a key, in words of 64 bits that go to all tasks as a broadcast table of at
+    most 2**MOST_BITS / 64 rows; beyond that size it lets more through. The driver holds no keys.
+    """
+
+    MOST_BITS = 26
+
+    def __init__(self, keys: DataFrame, *columns: str):
+        bits = min(self.MOST_BITS, max(16, (16 * keys.count()).bit_length()))
+        self.mask = (1 << bits) - 1
+        slot = self._slot(*columns)
+        one = F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(63)).cast("int"))
+        self.words = keys.groupBy(F.shiftright(slot, 6).alias("__word")).agg(F.bit_or(one).alias("__bits"))
+
+    def _slot(self, *columns):
+        return F.xxhash64(*columns).bitwiseAND(F.lit(self.mask))
+
+    def marked(self, df: DataFrame, name: str, *columns) -> DataFrame:
+        """df with a boolean column that is False only for rows whose key is not there."""
+        slot = self._slot(*columns)
+        bit = F.call_function("shiftright", F.col("__bits"), slot.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
+        joined = df.join(F.broadcast(self.words), F.shiftright(slot, 6) == F.col("__word"), "left")
+        return joined.select(*[df[c] for c in df.columns], F.coalesce(bit, F.lit(False)).alias(name))
+
+    def among(self, df: DataFrame, *columns) -> DataFrame:
+        return self.marked(df, "__maybe", *columns).where("__maybe").drop("__maybe")
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of DataFrames that are no longer referred to; its cleaner learns of them by garbage collection."""
     for _ in range(2):

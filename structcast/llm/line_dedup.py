@@ -1,356 +1,191 @@
 """Exact set-similarity join of lines with prefix, positional and length filters; the later of two matches goes.
 
-A line is the set of its tokens as 64-bit keys in order of rarity: the high byte is the token's frequency class, the rest
-its hash. Two sets with Jaccard similarity t or more share one of their first n - ceil(t * n) + 1 keys. Tasks send these
-keys with what the filters need, packed by range of the key; lines that share a key meet and are verified on their texts.
+Only DataFrame functions. A line is the sorted array of its distinct tokens as longs: the high byte is the token's
+frequency class, the rest its hash, so that ascending order is from rare to frequent. Two sets with Jaccard similarity t
+or more share one of their first n - ceil(t * n) + 1 tokens. Postings, a row for each of these, meet by token. A line
+is first held against the earliest of its group, which ends groups of near copies; only lines without a match are then
+joined with all that share a token. Matches are verified on texts.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ._store import bounded_batches, maybe_among, release, stored
-from ._text import LOWER, buffers, hash_spans, mix, ragged, slices, words
-
-COUNTER_BITS, SLOTS = 20, 64
-COUNTERS = 1 << COUNTER_BITS
-SLICE_BYTES = 2 << 20
-FLUSH = 1 << 19
+from ._store import Slots, discard, release, stored, written
 
+COUNTERS = 1 << 16
+CHUNK_BITS = 17  # a token that has more occurrences than two to the power of this is dealt in chunks of about as many
+BANDS = 3  # of sizes, for each power of two
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-def _class(counts: np.ndarray) -> np.ndarray:
-    """Four frequency classes for each power of two."""
-    return np.floor(4 * np.log2(counts + 1)).astype(np.uint8)
 
+def _spaced(text: Column) -> Column:
+    """Spaces for other white space but line ends."""
+    for c in "\t\r\x0b\x0c":
+        text = F.replace(text, F.lit(c), F.lit(" "))
+    return text
 
-def token_classes(texts: DataFrame) -> np.ndarray:
-    """The class of each of COUNTERS counters, on which all tokens of all texts are counted by hash."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(COUNTERS, np.int64)
-        for b in batches:
-            data, bounds = buffers(b.column(0))
-            for i, j in slices(bounds, SLICE_BYTES):
-                low = LOWER[data[bounds[i] : bounds[j]]]
-                starts, ends, _ = words(low, bounds[i : j + 1] - bounds[i])
-                total += np.bincount((hash_spans(low, starts, ends) >> np.uint64(64 - COUNTER_BITS)).astype(np.int64), minlength=COUNTERS)
-        yield pa.RecordBatch.from_arrays([pa.array(range(SLOTS), pa.int32()), pa.array([x.astype("<u4").tobytes() for x in np.minimum(total, 2**32 - 1).reshape(SLOTS, -1)], pa.binary())], ["slot", "counts"])
+def _lowered(text: Column) -> Column:
+    """Lower case in A-Z; texts of one byte for each letter take the fast way."""
+    return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict = {}
-        for b in batches:
-            for slot, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                total[slot] = total.get(slot, 0) + np.frombuffer(x.as_buffer(), "<u4").astype(np.int64)
-        if total:
-            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["slot", "counts"])
 
-    out = np.zeros((SLOTS, COUNTERS // SLOTS), np.int64)
-    for slot, counts in texts.select("text").mapInArrow(count, "slot int, counts binary").repartition("slot").mapInArrow(add, "slot int, counts binary").collect():  # SLOTS rows
-        out[slot] = np.frombuffer(bytes(counts), np.int64)
-    return _class(out.ravel())
+def _lines(texts: DataFrame, words: str = "words") -> DataFrame:
+    """doc_id, tie, line (number) and words of every line."""
+    return texts.select("doc_id", "tie", F.posexplode(F.split(_spaced(F.col("text")), "\n")).alias("line", words))
 
 
-class Lines:
-    """The lines of a slice of texts that have a token: their text and number, and a hash of their tokens in order (sid).
+def token_classes(texts: DataFrame) -> Column:
+    """A column of COUNTERS frequency classes: of all tokens whose hash falls on a counter, four classes for each power of two of their count.
 
-    With classes also their distinct keys from rare to frequent; with keys (slots of hashes) only lines that have one.
+    The counters hold every token of every text, here without case in all letters. The driver gets a number for each.
     """
+    token = F.explode(F.split(F.replace(_spaced(F.lower("text")), F.lit("\n"), F.lit(" ")), " ")).alias("token")
+    slot = F.xxhash64("token").bitwiseAND(F.lit(COUNTERS - 1)).cast("int").alias("slot")
+    class_ = F.least(F.floor(4 * F.log2(F.col("count") + 1)), F.lit(127))
+    classes = [0] * COUNTERS
+    for at, c in texts.select(token).groupBy(slot).count().select("slot", class_).collect():  # at most COUNTERS rows
+        classes[at] = c
+    return F.from_json(F.lit("[" + ",".join(map(str, classes)) + "]"), "array<int>")
 
-    def __init__(self, data: np.ndarray, bounds: np.ndarray, classes: np.ndarray | None = None, keys: np.ndarray | None = None):
-        low = LOWER[data]
-        feed = np.flatnonzero(data == 10)
-        text_of = np.searchsorted(bounds, feed, "right") - 1
-        text = np.concatenate([np.arange(len(bounds) - 1), text_of])
-        start = np.concatenate([bounds[:-1], feed + 1])
-        order = np.argsort(text, kind="stable")
-        text, start = text[order], start[order]
-        number = np.arange(len(text)) - np.searchsorted(text, text)
-        begin, end, _ = words(low, bounds)
-        h = hash_spans(low, begin, end)
-        line = np.searchsorted(start, begin, "right") - 1
-        first = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]])) if len(line) else np.zeros(0, np.int64)
-        size = np.diff(np.append(first, len(line)))
-        self.text, self.number = text[line[first]], number[line[first]]
-        self.start, self.end = begin[first], end[first + size - 1]
-        place = (np.arange(len(line)) - np.repeat(first, size)).astype(np.uint64)
-        self.sid = mix(np.add.reduceat(mix(h + mix(place)), first) + size.astype(np.uint64)).view(np.int64) if len(line) else np.zeros(0, np.int64)
-        if classes is None:
-            return
-        key = (classes[(h >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (h & np.uint64((1 << 56) - 1))
-        row = np.repeat(np.arange(len(first)), size)
-        if keys is not None:
-            hit = np.zeros(len(first), bool)
-            hit[row[keys[slots_of(key)]]] = True
-            self.text, self.number, self.sid = self.text[hit], self.number[hit], self.sid[hit]
-            key, row, first = key[hit[row]], (np.cumsum(hit) - 1)[row[hit[row]]], first[hit]
-        order = np.lexsort((key, row))
-        row, key = row[order], key[order]
-        new = np.ones(len(key), bool)
-        new[1:] = (row[1:] != row[:-1]) | (key[1:] != key[:-1])
-        row, self.key = row[new], key[new]
-        self.first = np.searchsorted(row, np.arange(len(first)))
-        self.n = np.diff(np.append(self.first, len(row)))
-
-    def prefix(self, percent: int) -> np.ndarray:
-        return self.n - -(-self.n * percent // 100) + 1
-
-    def bits(self) -> np.ndarray:
-        """64 parity bits of each set: two differ in no more bits than their sets do in tokens."""
-        return np.bitwise_xor.reduceat(np.uint64(1) << (self.key & np.uint64(63)), self.first) if len(self.key) else np.zeros(0, np.uint64)
-
-
-def split_lines(texts: DataFrame) -> DataFrame:
-    """sid (hash of the tokens), doc_id, tie and line (number) of every line with a token."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            data, bounds = buffers(b.column(2))
-            for i, j in slices(bounds, SLICE_BYTES):
-                own = Lines(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i])
-                at = pa.array(own.text + i)
-                yield pa.RecordBatch.from_arrays([pa.array(own.sid), b.column(0).take(at), b.column(1).take(at), pa.array(own.number.astype(np.int32))], ["sid", "doc_id", "tie", "line"])
-
-    return texts.select("doc_id", "tie", "text").mapInArrow(run, "sid long, doc_id long, tie long, line int")
-
-
-def _meeting(texts: DataFrame, classes: np.ndarray, percent: int, parts: int, nearest: int, chunk: int, only: tuple[np.ndarray, np.ndarray] | None) -> DataFrame:
-    """Pairs (a, b) of sets that pass all filters on a shared key, b in no earlier document than a; more: whether b had further ones.
-
-    For each key and b a few, the nearest by sketch of those looked at; with `only`, slots of hashes of lines and of keys, all
-    pairs on these keys with b on these slots.
-    """
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, seen = [], 0, {}  # seen: the earliest document of each line since the last flush
-        for b in batches:
-            data, bounds = buffers(b.column(1))
-            ids = np.asarray(b.column(0))
-            for i, j in slices(bounds, SLICE_BYTES):
-                own = Lines(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i], classes, None if only is None else only[1])
-                doc = ids[own.text + i]
-                order = np.argsort(doc, kind="stable")
-                _, first = np.unique(own.sid[order], return_index=True)
-                use = np.sort(order[first])
-                use = use[[d < seen.get(s, np.inf) for s, d in zip(own.sid[use].tolist(), doc[use].tolist(), strict=True)]]
-                seen.update(zip(own.sid[use].tolist(), doc[use].tolist(), strict=True))
-                count = own.prefix(percent)[use]
-                line = np.repeat(use, count)
-                place = ragged(np.zeros(len(use), np.int64), count)
-                rows = np.stack([own.key[own.first[line] + place], own.sid[line].view(np.uint64), own.bits()[line], doc[line].astype(np.int64).view(np.uint64), (own.n[line].astype(np.uint64) << np.uint64(32)) | place.astype(np.uint64)], 1)
-                if only is not None:
-                    rows = rows[only[1][slots_of(np.ascontiguousarray(rows[:, 0]))]]
-                held.append(rows)
-                size += len(rows)
-                if size > FLUSH:
-                    yield _packed(np.concatenate(held), parts)
-                    held, size, seen = [], 0, {}
-        if size:
-            yield _packed(np.concatenate(held), parts)
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [np.frombuffer(x.as_buffer(), np.uint64).reshape(-1, 5) for b in batches for x in b.column(1)]
-        if not rows:
-            return
-        keys = np.concatenate([r[:, 0] for r in rows])
-        order = np.argsort(keys, kind="stable")
-        again = np.zeros(len(order) + 1, bool)
-        again[1:-1] = keys[order][1:] == keys[order][:-1]
-        rows = np.concatenate(rows)[order[again[1:] | again[:-1]]]
-        del keys, order
-        order = np.lexsort((rows[:, 3].astype(np.int64), rows[:, 1], rows[:, 0]))
-        rows = rows[order]
-        if not len(rows):
-            return
-        new = np.concatenate([[True], (rows[1:, 0] != rows[:-1, 0]) | (rows[1:, 1] != rows[:-1, 1])])
-        rows = rows[new]  # of each set in a group the earliest document
-        first = np.flatnonzero(np.concatenate([[True], rows[1:, 0] != rows[:-1, 0]]))
-        size = np.diff(np.append(first, len(rows)))
-        yield from _group_pairs(rows, first[size > 1], size[size > 1], percent, nearest, chunk, None if only is None else only[0])
-
-    dealt = texts.select("doc_id", "text").mapInArrow(deal, "part long, rows binary")
-    return dealt.repartition(max(1, parts // 4), "part").mapInArrow(meet, "a long, b long, more boolean")
-
-
-def _packed(rows: np.ndarray, parts: int) -> pa.RecordBatch:
-    part = ((mix(rows[:, 0]) >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
-    order = np.argsort(part, kind="stable")
-    rows, part = rows[order], part[order].astype(np.int64)
-    edge = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-    end = np.append(edge[1:], len(part))
-    return pa.RecordBatch.from_arrays([pa.array(part[edge]), pa.array([rows[x:y].tobytes() for x, y in zip(edge, end, strict=True)], pa.binary())], ["part", "rows"])
-
-
-def slots_of(hashes: np.ndarray) -> np.ndarray:
-    """One of 2**20 slots for each hash."""
-    return (mix(hashes.view(np.uint64)) >> np.uint64(44)).astype(np.int64)
-
-
-def _group_pairs(rows: np.ndarray, first: np.ndarray, size: np.ndarray, percent: int, nearest: int, chunk: int, only: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-    """Pairs within groups of rows: rows b against a chunk of their group's rows a at a time, until b has `nearest` or more."""
-    sid, bits, doc = (np.ascontiguousarray(rows[:, k]) for k in (1, 2, 3))
-    sid, doc = sid.view(np.int64), doc.view(np.int64)
-    n, place = (rows[:, 4] >> np.uint64(32)).astype(np.int64), (rows[:, 4] & np.uint64(2**32 - 1)).astype(np.int64)
-    b = ragged(first, size)
-    base, width = np.repeat(first, size), np.repeat(size, size)
-    if only is not None:
-        keep = only[slots_of(sid[b])]
-        b, base, width = b[keep], base[keep], width[keep]
-    found, count = [], np.zeros(len(rows), np.int64)
-    while len(b):
-        reach = np.minimum(width, chunk)
-        ends = np.cumsum(reach)
-        lo = 0
-        while lo < len(b):
-            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + (1 << 19), "right")))
-            x = np.repeat(b[lo:hi], reach[lo:hi])
-            y = ragged(base[lo:hi], reach[lo:hi])
-            small, large = np.minimum(n[x], n[y]), np.maximum(n[x], n[y])
-            go = (doc[y] <= doc[x]) & (x != y) & (small * 100 >= large * percent)
-            x, y = x[go], y[go]
-            both = n[x] + n[y]
-            need = -(-both * percent // (100 + percent))
-            away = np.bitwise_count(bits[x] ^ bits[y]).astype(np.int64)
-            go = (np.minimum(n[x] - place[x], n[y] - place[y]) >= need) & (away <= both - 2 * need)
-            x, y, away = x[go], y[go], away[go]
-            count += np.bincount(x, minlength=len(rows))
-            if only is None and len(x):
-                order = np.lexsort((away, x))
-                x, y = x[order], y[order]
-                keep = np.arange(len(x)) - np.searchsorted(x, x) < nearest
-                x, y = x[keep], y[keep]
-            found.append(np.stack([sid[y], sid[x], x], 1))
-            lo = hi
-        go = width > reach
-        if only is None:
-            full = count[b] >= nearest
-            count[b[go & full]] += nearest  # what is left may hold more
-            go &= ~full
-        b, base, width = b[go], base[go] + chunk, width[go] - chunk
-    every = np.concatenate(found) if found else np.zeros((0, 3), np.int64)
-    more = count[every[:, 2]] > nearest if only is None else np.zeros(len(every), bool)
-    every = np.unique(np.stack([every[:, 0], every[:, 1], more], 1), axis=0)
-    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(every[:, 0])), pa.array(np.ascontiguousarray(every[:, 1])), pa.array(every[:, 2] > 0)], ["a", "b", "more"])
-
-
-def _line_texts(texts: DataFrame, firsts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """sid, first (where its first line is) and words (that line) of each wanted sid.
-
-    Tasks send only lines whose sid falls on a slot of a wanted one; the join with the places decides.
-    """
-    places = stored(firsts.join(wanted, "sid").select("sid", "first"), "places")
-    slots = np.zeros(1 << 20, bool)
-    for row in places.select("sid").mapInArrow(_slot_rows, "slot int").distinct().collect():  # at most a row for each slot
-        slots[row.slot] = True
+def _hashes(line: Column) -> Column:
+    """The line's distinct tokens."""
+    return F.array_remove(F.array_distinct(F.transform(F.split(_lowered(line), " "), lambda t: F.xxhash64(t))), F.xxhash64(F.lit("")))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            data, bounds = buffers(b.column(2))
-            for i, j in slices(bounds, SLICE_BYTES):
-                own = Lines(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i])
-                use = np.flatnonzero(slots[slots_of(own.sid)])
-                part = data[bounds[i] : bounds[j]]
-                at = pa.array(own.text[use] + i)
-                found = [part[x:y].tobytes() for x, y in zip(own.start[use].tolist(), own.end[use].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(own.sid[use]), b.column(0).take(at), b.column(1).take(at), pa.array(own.number[use].astype(np.int32)), pa.array(found, pa.binary()).cast(pa.string())], ["sid", "doc_id", "tie", "line", "words"])
 
-    sent = texts.select("doc_id", "tie", "text").mapInArrow(run, "sid long, doc_id long, tie long, line int, words string")
-    same = [sent["sid"] == places["sid"], sent["doc_id"] == F.col("first.doc_id"), sent["tie"] == F.col("first.tie"), sent["line"] == F.col("first.line")]
-    return stored(sent.join(places, same).select(places["sid"], "first", "words").dropDuplicates(["sid"]), "words")
+def token_set(line: Column, classes: Column) -> Column:
+    """The line's distinct tokens, rare ones first."""
+    class_ = lambda h: F.coalesce(F.get(classes, h.bitwiseAND(F.lit(COUNTERS - 1)).cast("int")), F.lit(0)).cast("long")
+    return F.sort_array(F.transform(_hashes(line), lambda h: F.shiftleft(class_(h), 56).bitwiseOR(F.shiftrightunsigned(h, 8))))
 
 
-def _slot_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        yield pa.RecordBatch.from_arrays([pa.array(np.unique(slots_of(np.asarray(b.column(0)))).astype(np.int32))], ["slot"])
+def _sketch(tokens: Column, half: int) -> Column:
+    """64 of 128 parity bits: two sketches differ in no more bits than their sets do in tokens."""
+    own = (lambda t: F.shiftright(t, 6).bitwiseAND(F.lit(1))) if half else (lambda t: F.shiftright(F.bitwise_not(t), 6).bitwiseAND(F.lit(1)))
+    return F.aggregate(tokens, F.lit(0).cast("long"), lambda bits, t: bits.bitwiseXOR(F.call_function("shiftleft", own(t), t.bitwiseAND(F.lit(63)).cast("int"))))
 
 
-def _later(pairs: DataFrame, texts: DataFrame, firsts: DataFrame, percent: int) -> DataFrame:
-    """sid of the later line of each pair that is similar enough, from the texts of their first lines."""
-    both = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    release(texts.sparkSession)
-    lines = _line_texts(texts, firsts, both.select(F.col("a").alias("sid")).union(both.select(F.col("b").alias("sid"))).distinct())
-    release(texts.sparkSession)
-    x = lines.select(F.col("sid").alias("a"), F.col("first").alias("first_a"), F.col("words").alias("x"))
-    y = lines.select(F.col("sid").alias("b"), F.col("first").alias("first_b"), F.col("words").alias("y"))
-    late = F.when(F.col("first_a") < F.col("first_b"), F.col("b")).otherwise(F.col("a"))
+def _sets(texts: DataFrame, classes: Column, percent: int) -> DataFrame:
+    """A row for each line: where it is, size, two hashes of its set, sketch and prefix. Lines without tokens have size 0."""
+    sets = _lines(texts).select("doc_id", "tie", "line", token_set(F.col("words"), classes).alias("tokens"))
+    n = F.size("tokens")
+    prefix = F.slice("tokens", F.lit(1), n - F.ceil(n * percent / 100).cast("int") + 1)
+    return sets.select("doc_id", "tie", "line", n.alias("n"), F.xxhash64("tokens").alias("sid"), F.xxhash64(F.lit(1), "tokens").alias("check"), _sketch(F.col("tokens"), 0).alias("bits"), _sketch(F.col("tokens"), 1).alias("more"), prefix.alias("prefix"))
+
+
+def _first_lines(lines: DataFrame, several: DataFrame) -> DataFrame:
+    """The first line of each set. several: sid, check and first of the sets that occur more than once."""
+    marked = Slots(several, "sid").marked(lines, "maybe", "sid")
+    again = marked.where("maybe").join(several, ["sid", "check"], "left").where(F.col("first").isNull() | (F.struct("doc_id", "tie", "line") == F.col("first")))
+    return marked.where("not maybe").drop("maybe").unionByName(again.drop("maybe", "first"))
+
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = []
-            for s, t in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                s, t = set(s.encode().lower().split()), set(t.encode().lower().split())
-                keep.append(len(s & t) * 100 >= len(s | t) * percent)
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(keep, pa.bool_()))], ["sid"])
+def _fits(percent: int, x: str, y: str) -> Column:
+    """Length filter, positional filter and sketch of postings x and y (prefixes of column names)."""
+    n, m = F.col(f"{x}n"), F.col(f"{y}n")
+    need = F.ceil((n + m) * percent / (100 + percent))
+    length = F.least(n, m) * 100 >= F.greatest(n, m) * percent
+    place = F.least(n - F.col(f"{x}i"), m - F.col(f"{y}i")) >= need
+    away = [F.bit_count(F.col(f"{x}{c}").bitwiseXOR(F.col(f"{y}{c}"))) for c in ("bits", "more")]
+    sketch = away[0] + away[1] <= n + m - 2 * need
+    return (F.col(f"{x}sid") != F.col(f"{y}sid")) & length & place & sketch
 
-    met = both.join(x, "a").join(y, "b").select(late.alias("sid"), "x", "y")
-    return stored(met.mapInArrow(run, "sid long").distinct(), "later")
 
+def _postings(first: DataFrame, *more: str) -> DataFrame:
+    """A row for each token of each prefix: token, i (place), sid, doc_id, n, bits and more (sketch)."""
+    return first.select("sid", "doc_id", "n", "bits", "more", *more, F.posexplode("prefix").alias("i", "token"))
 
-def _slots(lines: DataFrame, classes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """The slots of the lines and of the keys of their prefixes."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            data, bounds = buffers(b.column(1))
-            own = Lines(data, bounds, classes)
-            count = own.prefix(percent)
-            place = ragged(own.first, count)
-            slots = np.unique(np.concatenate([slots_of(np.asarray(b.column(0))), slots_of(own.key[place]) + (1 << 20)]))
-            yield pa.RecordBatch.from_arrays([pa.array(slots.astype(np.int32))], ["slot"])
+def _with_hubs(first: DataFrame, percent: int) -> DataFrame:
+    """a and b: of each token and each power of sizes the earliest set, and each later one that it fits.
 
-    out = np.zeros(1 << 21, bool)
-    for row in lines.select("sid", "words").mapInArrow(run, "slot int").distinct().collect():  # at most a row for each slot
-        out[row.slot] = True
-    return out[: 1 << 20], out[1 << 20 :]
+    Tokens that occur very often are dealt in chunks, each with a hub of its own.
+    """
+    times = F.floor(F.shiftright("token", 56) / 4).cast("int")  # its power of two, as counted
+    chunk = F.pmod("sid", F.call_function("shiftleft", F.lit(1).cast("long"), F.greatest(times - CHUNK_BITS, F.lit(0))))
+    dealt = _postings(first).withColumn("chunk", chunk).withColumn("band", F.floor(F.log2("n") * BANDS).cast("int"))
+    earliest = Window.partitionBy("token", "chunk", "band").orderBy("doc_id", "sid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    with_hub = dealt.select("*", *[F.first(c).over(earliest).alias(f"hub_{c}") for c in ("sid", "n", "bits", "more", "i")])
+    return with_hub.where(_fits(percent, "hub_", "")).select(F.col("hub_sid").alias("a"), F.col("sid").alias("b"))
+
+
+def _sharing(first: DataFrame, percent: int) -> DataFrame:
+    """a and b: sets that share a token and fit, the later of them open. Both sides of the join read one exchange."""
+    x, y = (_postings(first, "open").select("token", *[F.col(c).alias(f"{k}_{c}") for c in ("sid", "doc_id", "n", "bits", "more", "i", "open")]) for k in "xy")
+    open_ = ((F.col("x_doc_id") <= F.col("y_doc_id")) & F.col("y_open")) | ((F.col("x_doc_id") >= F.col("y_doc_id")) & F.col("x_open"))
+    both = x.join(y, (x["token"] == y["token"]) & (F.col("x_sid") < F.col("y_sid")) & open_ & _fits(percent, "x_", "y_"))
+    return both.select(F.col("x_sid").alias("a"), F.col("y_sid").alias("b"))
 
 
-def removed_lines(texts: DataFrame, percent: int = 80, nearest: int = 2, chunk: int = 512, part_rows: int = 400_000) -> DataFrame:
+def _later(pairs: DataFrame, texts: DataFrame, firsts: DataFrame, percent: int) -> DataFrame:
+    """sid and check of the later set of each pair (a, b) of sids whose Jaccard similarity is high enough."""
+    both = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    release(texts.sparkSession)
+    wanted = stored(both.select(F.col("a").alias("sid")).union(both.select(F.col("b").alias("sid"))).distinct(), "wanted")
+    found = Slots(wanted, "sid").among(firsts, "sid").join(wanted, "sid", "left_semi")
+    places = stored(found.select("sid", "check", "first", "first.doc_id", "first.tie", "first.line"), "places")
+    lines = Slots(places, "doc_id", "tie", "line").among(_lines(Slots(places, "doc_id").among(texts, "doc_id")), "doc_id", "tie", "line")
+    sets = stored(lines.join(places, ["doc_id", "tie", "line"]).dropDuplicates(["sid", "check"]).select("sid", "check", "first", _hashes(F.col("words")).alias("tokens")), "sets")
+    release(texts.sparkSession)
+    x, y = (sets.select(F.col("sid").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in ("check", "first", "tokens")]) for k in ("a", "b"))
+    same = F.size(F.array_intersect("tokens_a", "tokens_b"))
+    near = both.join(x, "a").join(y, "b").where(same * (100 + percent) >= (F.size("tokens_a") + F.size("tokens_b")) * percent)
+    b_late = F.col("first_a") < F.col("first_b")
+    late = near.select(F.when(b_late, F.col("b")).otherwise(F.col("a")).alias("sid"), F.when(b_late, F.col("check_b")).otherwise(F.col("check_a")).alias("check"))
+    return stored(late.distinct(), "later")
+
+
+def removed_lines(texts: DataFrame, percent: int = 80) -> DataFrame:
     """doc_id, tie (hash of the text) and gone (numbers of the lines that go, from 0) of the documents that lose lines. texts: doc_id, text."""
     spark = texts.sparkSession
-    bounded_batches(spark)
     texts = texts.where("doc_id is not null and text is not null").withColumn("tie", F.xxhash64("text"))
-    size = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    parts = 4 * (int(size // (24 * part_rows)) + 64)  # about a prefix key for each 24 bytes of text
-    classes = token_classes(texts)
-    lines = stored(split_lines(texts), "lines")
-    firsts = stored(lines.groupBy("sid").agg(F.min(F.struct("doc_id", "tie", "line")).alias("first"), F.count("*").alias("times")), "firsts")
+    every = stored(_sets(texts, token_classes(texts), percent), "sets").where("n > 0")
+    wide = written()[-1]
+    firsts = stored(every.groupBy("sid", "check").agg(F.min(F.struct("doc_id", "tie", "line")).alias("first"), F.count("*").alias("times")), "firsts")
+    several = firsts.where("times > 1").select("sid", "check", "first")
+    first = stored(_first_lines(every, several).select("sid", "check", "doc_id", "n", "bits", "more", "prefix"), "first")
+    lines = stored(every.select("doc_id", "tie", "line", "sid", "check"), "lines")
+    discard(spark, [wide])
     release(spark)
-    near = stored(_meeting(texts, classes, percent, parts, nearest, chunk, None), "near")
+
+    # Each set with the earliest of its groups, then every set that has no match yet with all that share a token.
+    later = _later(_with_hubs(first, percent), texts, firsts, percent)
     release(spark)
-    later = _later(near, texts, firsts, percent)
+    marked = Slots(later, "sid").marked(first, "maybe", "sid")
+    matched = marked.where("maybe").join(later.withColumn("open", F.lit(False)), ["sid", "check"], "left")
+    first = marked.where("not maybe").withColumn("open", F.lit(True)).unionByName(matched.withColumn("open", F.coalesce("open", F.lit(True))))
+    later = later.unionByName(_later(_sharing(first, percent), texts, firsts, percent))
     release(spark)
-    left = stored(near.where("more").select(F.col("b").alias("sid")).distinct().join(later, "sid", "left_anti"), "left")
-    if left.limit(1).count():
-        only = _slots(_line_texts(texts, firsts, left), classes, percent)
-        rest = _meeting(texts, classes, percent, parts, nearest, chunk, only).select("a", "b").distinct().join(near, ["a", "b"], "left_anti").join(later.withColumnRenamed("sid", "b"), "b", "left_anti")
-        later = later.unionByName(_later(rest, texts, firsts, percent))
-        release(spark)
-    several = firsts.where("times > 1").select("sid", "first")
-    marks = stored(later.distinct().withColumn("whole", F.lit(True)).join(several, "sid", "full"), "marks")
-    hit = lines.where(maybe_among(marks, "sid")(F.col("sid"))).join(marks, "sid").where(F.coalesce("whole", F.lit(False)) | (F.struct("doc_id", "tie", "line") != F.col("first")))
+
+    marks = several.withColumn("whole", F.lit(False)).unionByName(later.select("sid", "check", F.lit(None).cast(several.schema["first"].dataType).alias("first"), F.lit(True).alias("whole")))
+    marks = stored(marks.groupBy("sid", "check").agg(F.max("first").alias("first"), F.max("whole").alias("whole")), "marks")
+    hit = Slots(marks, "sid").among(lines, "sid").join(marks, ["sid", "check"])
+    hit = hit.where(F.col("whole") | (F.struct("doc_id", "tie", "line") != F.col("first")))
     return stored(hit.groupBy("doc_id", "tie").agg(F.collect_set("line").alias("gone")), "gone")
 
 
-def deduplicated(docs: DataFrame, percent: int = 80, nearest: int = 2, chunk: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def deduplicated(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the later lines gone from their texts; other columns stay, and n_lines_gone tells how many went.
 
     Lines are what line feeds part; their tokens are lower-cased in A-Z and parted by ASCII white space. A line goes if
     an earlier line, by id, hash of the text and line number, has a set of tokens with a Jaccard similarity of percent /
     100 or more to its own, whether or not that line goes itself. Lines without tokens stay. Rows with a null id or text
     stay as they are and match nothing; rows equal in id and text count as one. An empty table gives an empty result.
-    Each line is first verified with about `nearest` of those before it, sought a `chunk` at a time; only where none of
-    them matches and there may be more, with all. Lines with equal 64-bit hashes of their tokens in order count as equal.
+    Lines count as equal if two 64-bit hashes of their sets are; other matches are verified on the 64-bit hashes of all
+    their tokens.
     """
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    gone = removed_lines(own, percent, nearest, chunk).withColumnsRenamed({"doc_id": "__id", "tie": "__tie", "gone": "__gone"})
-    test = F.coalesce(maybe_among(gone, "__id")(F.col(id_col).cast("long")), F.lit(False))
-    on = (docs[id_col] == gone["__id"]) & (F.xxhash64(docs[text_col]) == gone["__tie"])
+    gone = removed_lines(own, percent)
+    marked = Slots(gone, "doc_id").marked(docs, "__maybe", F.col(id_col).cast("long"))
+    gone = gone.withColumnsRenamed({"doc_id": "__id", "tie": "__tie", "gone": "__gone"})
+    maybe = marked.where("__maybe")
+    changed = maybe.join(gone.hint("shuffle_hash"), (maybe[id_col].cast("long") == gone["__id"]) & (F.xxhash64(maybe[text_col]) == gone["__tie"]), "left")
     left = F.array_join(F.filter(F.split(F.col(text_col), "\n"), lambda _, i: ~F.array_contains("__gone", i)), "\n")
-    changed = docs.where(test).join(gone, on, "left").withColumn("n_lines_gone", F.coalesce(F.size("__gone"), F.lit(0)))
-    changed = changed.withColumn(text_col, F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(left)).drop("__id", "__tie", "__gone")
-    same = docs.where(~test).withColumn("n_lines_gone", F.lit(0))
-    return changed.unionByName(same)
+    changed = changed.withColumn("n_lines_gone", F.coalesce(F.size("__gone"), F.lit(0)))
+    changed = changed.withColumn(text_col, F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(left))
+    same = marked.where("not __maybe").withColumn("n_lines_gone", F.lit(0))
+    return changed.drop("__maybe", "__id", "__tie", "__gone").unionByName(same.drop("__maybe"))

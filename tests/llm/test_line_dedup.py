@@ -64,7 +64,7 @@ def test_groups_of_near_copies(spark):
         for k in range(r.randint(1, 5)):
             x[r.randrange(40)] = f"x{i}_{k}"
         docs.append((i, " ".join(x)))
-    got = {r.doc_id: r.text for r in line_dedup.deduplicated(spark.createDataFrame(docs, "doc_id long, text string"), nearest=1, chunk=7).collect()}
+    got = {r.doc_id: r.text for r in line_dedup.deduplicated(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert got == brute(docs)
 
 
