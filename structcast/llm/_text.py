@@ -111,3 +111,36 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.int64)
     before = np.cumsum(lengths) - lengths
     return np.arange(total) + np.repeat(starts - before, lengths)
+
+
+_PHI = np.uint64(0x9E3779B97F4A7C15)
+
+
+def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct numbers (not negative), ascending, and the place of each number among them.
+
+    Numbers that leave room for it are sorted with their places; few distinct ones are looked up in a table by hash.
+    """
+    n, kind = len(x), x.dtype
+    x = x.astype(np.uint64, copy=False)
+    bits = n.bit_length()
+    if n and int(x.max()).bit_length() + bits <= 64:
+        own = (x << np.uint64(bits)) | np.arange(n, dtype=np.uint64)
+        own.sort()
+        value = own >> np.uint64(bits)
+        new = np.concatenate([[True], value[1:] != value[:-1]])
+        at = np.empty(n, np.int64)
+        at[(own & np.uint64((1 << bits) - 1)).astype(np.int64)] = np.cumsum(new) - 1
+        return value[new].astype(kind), at
+    found = np.sort(x)
+    found = found[np.concatenate([[True], found[1:] != found[:-1]])] if n else found
+    if 4 * len(found) > n:
+        found, at = np.unique(x, return_inverse=True)
+        return found.astype(kind), at
+    shift = np.uint64(64 - max(8, (4 * len(found)).bit_length()))
+    table = np.zeros(1 << (64 - int(shift)), np.int32)
+    table[(found * _PHI) >> shift] = np.arange(len(found), dtype=np.int32)
+    at = table[(x * _PHI) >> shift].astype(np.int64)
+    other = np.flatnonzero(found[at] != x) if n else at
+    at[other] = np.searchsorted(found, x[other])
+    return found.astype(kind), at

@@ -22,14 +22,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._store import bounded_batches, discard, release, stored, written
-from ._text import LOWER, buffers, hash_spans, mix, slices, words
+from ._text import LOWER, buffers, distinct, hash_spans, mix, slices, words
 
 SLICE_BYTES = 4 << 20
 BUCKETS, SLOTS = 1 << 16, 64
 FREQUENT = 1024
 TRAIN_BIT = 1 << 15
 FLUSH_TOKENS, FLUSH_DOCS = 1 << 20, TRAIN_BIT
-COUNTED, GROUPS = 2, 3  # groups of parts, in counting and after it; one after the other, so that only a share of the entries is on disk at once
+COUNTED, SEATED, SCORED = 2, 3, 2  # groups of parts in counting, seating and scoring; one after the other, so that only a share of the entries is on disk at once
 CHUNK = 1 << 23  # tokens whose places fit the sorting key
 END = np.uint64(0x5EED0E4D)  # the hash of the end token; START is a context only
 START = np.uint64(1)
@@ -69,7 +69,8 @@ def draw_tables(customers: np.ndarray, pull: np.ndarray, discount: float, random
         step = 1 if seated < 64 else seated // 16
         n = np.minimum(customers[left] - seated, step)
         join = np.maximum(seated - discount * tables[left], 1e-12)
-        tables[left] += random.binomial(n, pull[left] / (pull[left] + join))
+        opens = pull[left] / (pull[left] + join)
+        tables[left] += random.random(len(left)) < opens if step == 1 else random.binomial(n, opens)
         seated += step
         left = left[customers[left] > seated]
     return tables
@@ -156,10 +157,11 @@ def _survey(texts: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
                 h, _ = token_hashes(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i])
                 total += np.bincount((h >> np.uint64(48)).astype(np.int64), minlength=BUCKETS)
                 n += len(h)
-                own, times = np.unique(h, return_counts=True)
-                both, at = np.unique(np.concatenate([words_, own]), return_inverse=True)
+                often = total * (2 * FREQUENT) >= n  # buckets that are frequent so far
+                own, times = np.unique(h[often[(h >> np.uint64(48)).astype(np.int64)]], return_counts=True)
+                both, at = distinct(np.concatenate([words_, own]))
                 counts = np.bincount(at, np.concatenate([counts, times])).astype(np.int64)
-                keep = total[(both >> np.uint64(48)).astype(np.int64)] * (2 * FREQUENT) >= n  # of buckets that are frequent so far
+                keep = often[(both >> np.uint64(48)).astype(np.int64)]
                 words_, counts = both[keep], counts[keep]
         best = np.argsort(-counts, kind="stable")[: 2 * FREQUENT]
         size = BUCKETS // SLOTS
@@ -210,7 +212,7 @@ def _squeezed(x: np.ndarray) -> bytes:
     """Whole numbers in as few bytes as they need, the first bytes of all, then the second ones, compressed."""
     most = int(x.max(initial=0))
     x = x.ravel().astype("u1" if most < 1 << 8 else "<u2" if most < 1 << 16 else "<u4" if most < 1 << 32 else "<u8")
-    planes = x.view("u1").reshape(-1, x.itemsize).T.tobytes()
+    planes = b"".join((x >> np.array(8 * k, x.dtype)).astype("u1").tobytes() for k in range(x.itemsize))
     return bytes([x.itemsize]) + len(x).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
 
 
@@ -233,21 +235,22 @@ def _pack(block: int, word: np.ndarray, starts: np.ndarray, mark: np.ndarray, fr
     far[starts] = START
     for lo in range(0, len(word), CHUNK):
         hi = min(len(word), lo + CHUNK)
-        known, place = np.unique(np.concatenate([[far[lo], near[lo]], word[lo:hi], [START]]), return_inverse=True)
-        n, f = (np.where(x[lo:hi] == START, place[-1], p) for x, p in ((near, place[1:-2]), (far, place[:-3])))
-        w, m = place[2:-1], mark[lo:hi]
-        some = part_of(near[lo:hi], word[lo:hi]) % group[1] == group[0]
-        n, f, w, m = n[some], f[some], w[some], m[some]
-        if not len(w):
+        some = lo + np.flatnonzero(part_of(near[lo:hi], word[lo:hi]) % group[1] == group[0])
+        if not len(some):
             continue
-        pairs, pair = np.unique((n << 32) | w, return_inverse=True)
-        part = part_of(known[pairs >> 32], known[pairs & 0xFFFFFFFF])
+        known, place = distinct(np.concatenate([near[some], far[some], word[some]]))
+        n, f, w = place.reshape(3, -1)
+        m = mark[some]
+        bits = len(known).bit_length()
+        pairs, pair = distinct((n << bits) | w)
+        of_near, of_word = pairs >> bits, pairs & ((1 << bits) - 1)
+        part = part_of(known[of_near], known[of_word])
         order = np.argsort(part, kind="stable")
         rank = np.empty_like(order)
         rank[order] = np.arange(len(order))
         key, count = np.unique((rank[pair].astype(np.uint64) << np.uint64(40)) | (f.astype(np.uint64) << np.uint64(16)) | m.astype(np.uint64), return_counts=True)
         pair = order[(key >> np.uint64(40)).astype(np.int64)]
-        places = [pairs[pair] >> 32, ((key >> np.uint64(16)) & np.uint64(0xFFFFFF)).astype(np.int64), pairs[pair] & 0xFFFFFFFF]
+        places = [of_near[pair], ((key >> np.uint64(16)) & np.uint64(0xFFFFFF)).astype(np.int64), of_word[pair]]
         mark_ = (key & np.uint64(0xFFFF)).astype("<u2")
         own = part[pair]
         edge = np.append(_runs(own), len(own))
@@ -269,28 +272,32 @@ class Part:
 
     def __init__(self, rows: list[pa.RecordBatch], frequent: np.ndarray):
         known = [_read(b.column(2)[0]).astype(np.uint64) for b in rows]
-        self.words, place = np.unique(np.concatenate(known), return_inverse=True)
-        columns: list[list] = [[], [], [], [], [], []]
+        self.words, place = distinct(np.concatenate(known))
+        columns: list[list] = [[], [], [], [], []]
+        self.blocks = []  # of each row the block and the number of entries
         for b, own in zip(rows, np.split(place, np.cumsum(list(map(len, known)))[:-1]), strict=True):
             mark = _read(b.column(6)[0])
-            for c, x in zip(columns, [*(own[_read(b.column(c)[0])] for c in (3, 4, 5)), mark, _read(b.column(7)[0]), np.full(len(mark), b.column(1)[0].as_py())], strict=True):
+            for c, x in zip(columns, [*(own[_read(b.column(c)[0])] for c in (3, 4, 5)), mark, _read(b.column(7)[0])], strict=True):
                 c.append(x)
-        near, far, word, self.mark, self.count, self.block = map(np.concatenate, columns)
+            self.blocks.append((b.column(1)[0].as_py(), len(mark)))
+        near, far, word, self.mark, self.count = map(np.concatenate, columns)
         self.count = self.count.astype(np.int64)
         del columns, place, known
-        self.pairs, pair = np.unique((near << 32) | word, return_inverse=True)
-        types, self.at = np.unique((pair << 32) | far, return_inverse=True)
+        bits = len(self.words).bit_length()
+        low = (1 << bits) - 1
+        pairs, pair = distinct((near << bits) | word)
+        types, self.at = distinct((pair << bits) | far)
         train = self.mark >= TRAIN_BIT
         self.n = np.bincount(self.at[train], self.count[train], len(types)).astype(np.int64)  # training customers
-        self.pair, self.far = types >> 32, types & 0xFFFFFFFF
-        self.word, near = self.pairs & 0xFFFFFFFF, self.pairs >> 32
-        self.near, self.of_near = np.unique(near, return_inverse=True)  # contexts of one word, and of each pair its own
-        contexts, self.of_context = np.unique((self.of_near[self.pair] << 32) | self.far, return_inverse=True)
-        self.context_near = contexts >> 32
+        self.pair, self.far = types >> bits, types & low
+        self.word, self.near_of_pair = pairs & low, pairs >> bits
+        self.near, self.of_near = distinct(self.near_of_pair)  # contexts of one word, and of each pair its own
+        contexts, self.of_context = distinct((self.of_near[self.pair] << bits) | self.far)
+        self.context_near = contexts >> bits
         self.hot = _among(frequent, self.words[self.near]) >= 0
         self.hot_context = self.hot[self.context_near]
-        self.own_words, self.of_word = np.unique(self.word, return_inverse=True)
-        keys = [self.words[self.own_words], mix(self.words[self.near[self.hot]] + np.uint64(7)), mix(mix(self.words[self.near[self.context_near[self.hot_context]]]) + self.words[contexts[self.hot_context] & 0xFFFFFFFF])]
+        self.own_words, self.of_word = distinct(self.word)
+        keys = [self.words[self.own_words], mix(self.words[self.near[self.hot]] + np.uint64(7)), mix(mix(self.words[self.near[self.context_near[self.hot_context]]]) + self.words[contexts[self.hot_context] & low])]
         self.kinds = np.repeat(np.arange(3), list(map(len, keys)))
         self.keys = np.concatenate(keys)
 
@@ -333,7 +340,7 @@ class Part:
         return np.bincount(self.of_near, by_pair, len(self.near)), np.bincount(self.of_context, by_type, len(self.context_near))
 
     def per_pair(self, by_type: np.ndarray) -> np.ndarray:
-        return np.bincount(self.pair, by_type, len(self.pairs))
+        return np.bincount(self.pair, by_type, len(self.word))
 
     def counted(self) -> tuple[np.ndarray, np.ndarray]:
         """Training tokens, and distinct nearer words before each word, by key."""
@@ -366,7 +373,7 @@ class Part:
 
     def seated(self, samples: list) -> list[np.ndarray]:
         """By key: customers in each sample, then tables (of words: none, the root draws them)."""
-        nothing, none = np.zeros(len(self.pairs)), np.zeros(len(self.context_near))
+        nothing, none = np.zeros(len(self.word)), np.zeros(len(self.context_near))
         customers = [self.by_key(t2, self.totals(k2, t3)[0], none) for t3, k2, t2 in samples]
         return customers + [self.by_key(nothing, *self.totals(t2, t3)) for t3, k2, t2 in samples]
 
@@ -410,7 +417,7 @@ def _summed(asked: DataFrame, parts: int, setting: Setting, vocabulary: int | No
             width = 2 if vocabulary is None else 2 + 2 * samples
             numbers = [_read(b.column(4)[0]).reshape(width, -1) for b in rows]
             edge = np.cumsum([0, *map(len, key)])
-            first, at = np.unique(np.concatenate(key) ^ np.concatenate(kind).astype(np.uint64), return_inverse=True)
+            first, at = distinct(np.concatenate(key) ^ np.concatenate(kind).astype(np.uint64))
             is_word = np.zeros(len(first), bool)
             is_word[at[np.concatenate(kind) == 0]] = True
             sums = np.stack([np.bincount(at, np.concatenate([n[c] for n in numbers]), len(first)) for c in range(width)]).astype(np.int64)
@@ -482,8 +489,7 @@ def fit(texts: DataFrame, setting: Setting, part_tokens: int = 2_000_000) -> tup
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, rows, _ in _grouped(batches):
             p = Part(rows, frequent)
-            order = p.pairs[p.pair]
-            yield _row(part, 0, p.words, order >> 32, p.far, order & 0xFFFFFFFF, np.full(len(p.n), TRAIN_BIT), p.n)
+            yield _row(part, 0, p.words, p.near_of_pair[p.pair], p.far, p.word[p.pair], np.full(len(p.n), TRAIN_BIT), p.n)
             yield from p.ask(part, parts, *p.counted())
 
     def seat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -505,8 +511,8 @@ def fit(texts: DataFrame, setting: Setting, part_tokens: int = 2_000_000) -> tup
     done = len(paths)
     model.first = Root(int(totals[0]), [int(totals[2])], [int(totals[0])])
     asked = None
-    for group in range(GROUPS):
-        own = types.where("word is not null").unionAll(first).where(F.col("part") % GROUPS == group)
+    for group in range(SEATED):
+        own = types.where("word is not null").unionAll(first).where(F.col("part") % SEATED == group)
         some = stored(own.repartition(parts, "part").mapInArrow(seat, PACKED_SCHEMA), "seated")
         paths.append(written()[-1])
         release(spark)
@@ -544,7 +550,7 @@ def scores(docs: DataFrame, setting: Setting | None = None, part_tokens: int = 2
             block = (TaskContext.get().partitionId() << 20) + flush
             word, starts, mark = zip(*held, strict=True)
             before = np.cumsum([0, *map(len, word)])
-            for row in _pack(block, np.concatenate(word), np.concatenate([a + b for a, b in zip(starts, before, strict=False)]), np.concatenate(mark), m.frequent, m.parts, (group, GROUPS)):
+            for row in _pack(block, np.concatenate(word), np.concatenate([a + b for a, b in zip(starts, before, strict=False)]), np.concatenate(mark), m.frequent, m.parts, (group, SCORED)):
                 yield with_ids(row, None)
             if group:
                 return
@@ -595,15 +601,14 @@ def scores(docs: DataFrame, setting: Setting | None = None, part_tokens: int = 2
             log = p.log10(setting, m.sampled(part, p, totals), totals, m.root)
             count = p.of_words(totals[0])[p.pair][p.at]
             text = (p.mark & np.uint16(TRAIN_BIT - 1)).astype(np.int64)
-            numbers = np.stack([p.count * (count > 0), p.count * np.log10((count + 1) / all_), p.count * log[p.at]], 1)
-            order = np.lexsort((text, p.block))
-            block, text, numbers = p.block[order], text[order], numbers[order]
-            edge = _runs((block << 16) | text)
-            numbers = np.add.reduceat(numbers, edge, axis=0)
-            block, text = block[edge], text[edge]
-            first = np.append(_runs(block), len(block))
-            for x, y in zip(first[:-1], first[1:], strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array([block[x]], pa.int64()), pa.array([numbers[x:y].astype("<f8").tobytes()], pa.binary()), pa.array([text[x:y].astype("<u2").tobytes()], pa.binary()), pa.nulls(1, ids_type)], ["block", "numbers", "text", "ids"])
+            numbers = [p.count * (count > 0), p.count * np.log10((count + 1) / all_), p.count * log[p.at]]
+            x = 0
+            for block, n in p.blocks:
+                t = text[x : x + n]
+                own = np.flatnonzero(np.bincount(t))
+                sums_ = np.stack([np.bincount(t, c[x : x + n])[own] for c in numbers], 1)
+                x += n
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([sums_.astype("<f8").tobytes()], pa.binary()), pa.array([own.astype("<u2").tobytes()], pa.binary()), pa.nulls(1, ids_type)], ["block", "numbers", "text", "ids"])
         yield from passed
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -627,8 +632,8 @@ def scores(docs: DataFrame, setting: Setting | None = None, part_tokens: int = 2
     where = F.when(F.col("part") < 0, F.xxhash64("block")).otherwise(F.col("part"))
     summed_kind = f"block long, numbers binary, text binary, ids array<{id_kind}>"
     summed = None
-    for group in range(GROUPS):
-        own = sums.where(F.col("part") % GROUPS == group).withColumn("ids", F.lit(None).cast(f"array<{id_kind}>"))
+    for group in range(SCORED):
+        own = sums.where(F.col("part") % SCORED == group).withColumn("ids", F.lit(None).cast(f"array<{id_kind}>"))
         entries = texts.mapInArrow(partial(deal, group=group), packed).unionAll(own)
         some = stored(entries.repartition(m.parts, where).mapInArrow(score, summed_kind), "scored")
         release(docs.sparkSession)
