@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +29,7 @@ BUCKETS, SLOTS = 1 << 16, 64
 FREQUENT = 1024
 TRAIN_BIT = 1 << 15
 FLUSH_TOKENS, FLUSH_DOCS = 1 << 20, TRAIN_BIT
-COUNTED, SEATED, SCORED = 2, 3, 2  # groups of parts in counting, seating and scoring; one after the other, so that only a share of the entries is on disk at once
+COUNTED, SEATED, SCORED = 2, 4, 2  # groups of parts in counting, seating (of each counted group the same number) and scoring; one after the other, so that only a share of the entries is on disk at once
 CHUNK = 1 << 23  # tokens whose places fit the sorting key
 END = np.uint64(0x5EED0E4D)  # the hash of the end token; START is a context only
 START = np.uint64(1)
@@ -499,28 +499,27 @@ def fit(texts: DataFrame, setting: Setting, part_tokens: int = 2_000_000) -> tup
             yield from p.ask(part, parts, *p.counted(), *p.seated(samples))
 
     model = Model(setting, frequent, tokens, parts)
-    paths, types = [], None
+    paths, types = [], []
     for group in range(COUNTED):
         dealt = texts.select("text", "train").mapInArrow(partial(count, group=group), PACKED_SCHEMA)
-        some = stored(dealt.repartition(parts, "part").mapInArrow(gather, PACKED_SCHEMA), "types")
+        types.append(stored(dealt.repartition(parts, "part").mapInArrow(gather, PACKED_SCHEMA), "types"))
         paths.append(written()[-1])
         release(spark)
-        types = some if types is None else types.unionAll(some)
-    first, totals = _summed(types.where("word is null"), parts, setting, None)
-    paths.append(written()[-1])
-    done = len(paths)
+    first, totals = _summed(reduce(DataFrame.unionAll, types).where("word is null"), parts, setting, None)
+    first_path = written()[-1]
     model.first = Root(int(totals[0]), [int(totals[2])], [int(totals[0])])
-    asked = None
-    for group in range(SEATED):
-        own = types.where("word is not null").unionAll(first).where(F.col("part") % SEATED == group)
-        some = stored(own.repartition(parts, "part").mapInArrow(seat, PACKED_SCHEMA), "seated")
-        paths.append(written()[-1])
-        release(spark)
-        asked = some if asked is None else asked.unionAll(some)
-    discard(spark, paths[:done])
+    seated = []
+    for group in range(COUNTED):
+        for part in range(group, SEATED, COUNTED):
+            own = types[group].where("word is not null").unionAll(first).where(F.col("part") % SEATED == part)
+            seated.append((stored(own.repartition(parts, "part").mapInArrow(seat, PACKED_SCHEMA), "seated"), written()[-1]))
+            release(spark)
+        discard(spark, [paths[group]])
+    discard(spark, [first_path])
+    asked = reduce(DataFrame.unionAll, [df for df, _ in seated])
     sums, totals = _summed(asked, parts, setting, model.first.vocabulary)
     model.root = Root(int(totals[0]), totals[3 : 3 + setting.samples].tolist(), totals[3 + setting.samples :].tolist())
-    discard(spark, paths[done:])
+    discard(spark, [path for _, path in seated])
     return model, sums
 
 
