@@ -82,7 +82,7 @@ def op5_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_run_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = repeats.without_repeats(_table(spark, sf_dir, "documents"))
     removed = F.aggregate(F.zip_with("starts", "ends", lambda a, b: (b - a).cast("long")), F.lit(0).cast("long"), lambda x, y: x + y)
-    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("starts").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("starts").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), F.when(F.col("n_bytes") > 0, removed / F.col("n_bytes")).otherwise(F.lit(0.0)).alias("share_removed"))
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
