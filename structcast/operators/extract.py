@@ -224,6 +224,16 @@ class Extractor:
         ]
         return pa.StructArray.from_arrays(columns, fields=list(kind), mask=pa.array([r is None for r in found], pa.bool_()))
 
+    def kernel(self):
+        """The extraction of Arrow batches of texts as a function of a column; evaluated once, also under a filter on its result."""
+        own = self
+
+        @F.arrow_udf(returnType=self.result_type)
+        def kernel(texts: pa.Array) -> pa.Array:
+            return own.batch(texts.to_pylist())
+
+        return kernel.asNondeterministic()
+
     def column(self, text: Column | str, fast: bool = True) -> Column:
         """A struct column: ok, data, errors, score, flags, raw; null for a null text.
 
@@ -232,13 +242,7 @@ class Extractor:
         """
         text = F.col(text) if isinstance(text, str) else text
         quick = _catalyst(self, text) if fast else None
-        own = self
-
-        @F.arrow_udf(returnType=self.result_type)
-        def kernel(texts: pa.Array) -> pa.Array:
-            return own.batch(texts.to_pylist())
-
-        kernel = kernel.asNondeterministic()  # evaluated once, also under a filter on its result
+        kernel = self.kernel()
         if quick is None:
             return kernel(text)
         easy, value = quick
@@ -367,10 +371,17 @@ def feedback(shaped: Column | str, prompt_text: str) -> Column:
 def quality_rollup(df: DataFrame, shaped: str, *by: str) -> DataFrame:
     """By group: n, share that is ok, mean score, and how often each kind of flag occurs."""
     c = F.col(shaped)
-    kinds = df.select(*by, F.explode(F.transform(c["flags"], lambda f: f["kind"])).alias("kind")).groupBy(*by, "kind").count()
-    counts = kinds.groupBy(*by).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("kind", "count")))).alias("flag_counts"))
-    rates = df.groupBy(*by).agg(F.count("*").alias("n"), F.avg(c["ok"].cast("int")).alias("ok_rate"), F.avg(c["score"]).alias("mean_score"))
-    return rates.join(counts, list(by), "left") if by else rates.withColumn("flag_counts", counts.select("flag_counts").scalar())
+    each = df.select(*by, c["ok"].cast("int").alias("__ok"), c["score"].alias("__score"), F.posexplode_outer(F.transform(c["flags"], lambda f: f["kind"])).alias("__at", "__kind"))
+    once = F.coalesce(F.col("__at"), F.lit(0)) == 0  # a row for each flag, or one without; the first stands for the result
+    sums = {"n": F.lit(1), "ok": F.col("__ok"), "oks": F.col("__ok").isNotNull().cast("int"), "score": F.col("__score"), "scores": F.col("__score").isNotNull().cast("int")}
+    kinds = each.groupBy(*by, "__kind").agg(F.count("*").alias("__count"), *[F.sum(F.when(once, x)).alias(f"__sum_{k}") for k, x in sums.items()])
+    listed = F.sort_array(F.collect_list(F.when(F.col("__kind").isNotNull(), F.struct(F.col("__kind").alias("kind"), F.col("__count").alias("count")))))
+    total = {k: F.sum(f"__sum_{k}") for k in sums}
+    rate = lambda x, n: F.when(total[n] > 0, total[x] / total[n])
+    return kinds.groupBy(*by).agg(
+        F.coalesce(total["n"], F.lit(0)).alias("n"), rate("ok", "oks").alias("ok_rate"), rate("score", "scores").alias("mean_score"),
+        F.when(F.size(listed) > 0, F.map_from_entries(listed)).alias("flag_counts"),
+    )
 
 
 def best_candidate(df: DataFrame, key: list[str], default: str, guess: str, score: str, place: str) -> DataFrame:

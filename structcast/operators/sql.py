@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.readings import Fenced, Mended, Options, Readings, readings, shown
 from .extract import Extractor
@@ -33,24 +32,7 @@ class ParseCandidates:
 
 
 def register(spark: SparkSession, extractors: dict[str, Extractor]) -> None:
-    """Each extractor as a function of a text under its name, and parse_candidates as a table function."""
+    """Each extractor as a function of a text under its name, over Arrow batches, and parse_candidates as a table function."""
     for name, own in extractors.items():
-        spark.udf.register(name, lambda text, own=own: None if text is None else _row(own, text), own.result_type)
+        spark.udf.register(name, own.kernel())
     spark.udtf.register("parse_candidates", ParseCandidates)
-
-
-def _row(own: Extractor, text: str) -> dict:
-    row = own.row(text)
-    row["data"] = _python(row["data"], own.data_type)
-    return row
-
-
-def _python(v: object, kind: T.DataType) -> object:
-    """Maps as dicts, all through a value."""
-    if v is None:
-        return None
-    if isinstance(kind, T.StructType):
-        return {f.name: _python(v[f.name], f.dataType) for f in kind.fields}
-    if isinstance(kind, T.ArrayType):
-        return [_python(x, kind.elementType) for x in v]
-    return {k: _python(x, kind.valueType) for k, x in v} if isinstance(kind, T.MapType) else v

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,12 +24,14 @@ def read_chunks(spark: SparkSession, path: str, schema: str, source: str = "json
 
 
 def write_split(df: DataFrame, shaped: str, good: str, bad: str, source: str = "parquet", mode: str = "errorifexists") -> None:
-    """Rows that are ok with their data to one place, the others with raw text and errors to another."""
+    """Rows that are ok with their data to one place, the others with raw text and errors to another; df is evaluated once."""
     rest = [c for c in df.columns if c != shaped]
+    df = df.persist(StorageLevel.DISK_ONLY)
     kept = df.where(F.col(f"{shaped}.ok"))
     failed = df.where(~F.coalesce(F.col(f"{shaped}.ok"), F.lit(False)))
     kept.select(*rest, F.col(f"{shaped}.data").alias("data"), F.col(f"{shaped}.score").alias("score")).write.format(source).mode(mode).save(good)
     failed.select(*rest, F.col(f"{shaped}.raw").alias("raw"), F.col(f"{shaped}.errors").alias("errors")).write.format(source).mode(mode).save(bad)
+    df.unpersist()
 
 
 def extract_table(spark: SparkSession, path: str, extractor: Extractor, text_col: str, source: str = "parquet", **options) -> DataFrame:

@@ -1,5 +1,6 @@
 """Rules of the engine, text by text."""
 
+import json
 import math
 
 import pytest
@@ -260,3 +261,26 @@ def test_sources(spark, tmp_path):
     write_split(both, "shaped", f"file://{tmp_path}/good", f"file://{tmp_path}/bad")
     assert spark.read.parquet(f"file://{tmp_path}/good").count() == 1 and spark.read.parquet(f"file://{tmp_path}/bad").first().errors == ["Failed to coerce value to target type"]
     assert extract_table(spark, f"file://{tmp_path}/bad", Extractor({"type": "string"}), "raw").select(F.col("shaped.data")).first()[0] == "x"
+
+
+def test_rollup_of_groups(spark):
+    from structcast import quality_rollup
+
+    rows = [("a", "1"), ("a", "2 apples"), ("a", None), (None, "x"), (None, "7"), ("b", "3")]
+    df = spark.createDataFrame(rows, "g string, text string").transform(Extractor({"type": "integer"}).into("text"))
+    got = {r.g: r for r in quality_rollup(df, "shaped", "g").collect()}
+    each = {g: [Extractor({"type": "integer"}).shape(t) for k, t in rows if k == g and t is not None] for g in ("a", None, "b")}
+    for g, shaped in each.items():
+        assert got[g].n == sum(k == g for k, _ in rows)
+        assert got[g].ok_rate == sum(x.ok for x in shaped) / len(shaped)
+        kinds = [f.kind for x in shaped for f in x.flags]
+        assert (got[g].flag_counts or {}) == {k: kinds.count(k) for k in kinds}
+    assert got["b"].flag_counts is None
+    assert quality_rollup(df, "shaped").first().n == len(rows)
+    assert quality_rollup(df.limit(0), "shaped").first().n == 0
+
+
+@pytest.mark.parametrize("source,fits,fails", [(r"^\p{L}+$", "p{L}", "123"), (r"^[\d\-]+$", "1-2", "d"), (r"\Abc\Z", "AbcZ", "bc"), (r"^\\p$", "\\p", "p")])
+def test_patterns_with_idle_escapes(source, fits, fails):
+    own = Extractor({"type": "object", "properties": {"x": {"type": "string", "pattern": source}}, "required": ["x"]})
+    assert own.shape(json.dumps({"x": fits})).ok and not own.shape(json.dumps({"x": fails})).ok
