@@ -17,9 +17,11 @@ _written: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; where that is unset (tests, one machine), a new temporary folder is set."""
+    """The folder named in spark.checkpoint.dir. Where that is unset, one machine (tests) gets a new temporary folder; a cluster's executors would each write to their own, so there it is an error."""
     found = spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING)
     if not found:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError(f"{SETTING} must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="structcast-")
         spark.conf.set(SETTING, found)
     return found.rstrip("/")

@@ -142,6 +142,29 @@ def test_leaks_of_edited_and_partial_copies(spark):
     assert {(x.doc_id, x.item_id) for x in decontaminate.matches(df, bench).collect()} == want
 
 
+@pytest.mark.parametrize("rate", [0.1, 0.2, 0.25, 0.3])
+def test_recall_of_edited_copies(spark, rate):
+    """Against full Smith-Waterman of each copy: items of 30 words, every word edited at the rate, by replacing, dropping or inserting."""
+    r = random.Random(int(100 * rate))
+    vocab = [f"v{i}" for i in range(3000)]
+    items = [(i, [r.choice(vocab) for _ in range(30)]) for i in range(150)]
+    docs, want = [], set()
+    for i, own in items:
+        copy = []
+        for w in own:
+            kind = r.choice("rdi") if r.random() < rate else ""
+            copy += {"": [w], "r": [r.choice(vocab)], "d": [], "i": [w, r.choice(vocab)]}[kind]
+        docs.append((i, " ".join([r.choice(vocab) for _ in range(40)] + copy + [r.choice(vocab) for _ in range(40)])))
+        if brute_local(own, docs[-1][1].split()) >= 0.5 * 2 * len(own):
+            want.add((i, i))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = decontaminate.matches(df, spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")).collect()
+    found = {(x.doc_id, x.item_id) for x in got}
+    assert len(want) > 100 and len(found & want) >= 0.97 * len(want)
+    for x in got:
+        assert round(x.score * 60) == brute_local(items[x.item_id][1], docs[x.doc_id][1].split())
+
+
 def test_leaks_of_the_table(spark):
     from structcast.llm.queries import op7_decontaminate
 
