@@ -357,15 +357,21 @@ class Part:
         here = self.totals(self.per_pair(self.n), self.n)
         up, up_context = (np.divide(a, b, out=np.zeros(len(b)), where=b > 0) for a, b in zip(self.whole(here, (sums[0], sums[0])), here, strict=True))
         t3 = np.minimum(self.n, 1)
+        many = np.flatnonzero(self.n > 1)  # the others have a table whatever is drawn
+        customers, pair, context = self.n[many], self.pair[many], self.of_context[many]
+        once = np.where(self.n > 1, 0, t3)
+        fixed, fixed_context = self.per_pair(once).astype(np.int64), np.bincount(self.of_context, once, len(self.context_near))
         k2 = self.per_pair(t3).astype(np.int64)
         t2 = np.minimum(k2, 1)
         out = []
         for sweep in range(s.sweeps):
-            opened, opened_context = self.totals(t2, t3)
+            opened = np.bincount(self.of_near, t2, len(self.near))
+            opened_context = fixed_context + np.bincount(context, t3[many], len(fixed_context))
             weight = (s.strength + s.discount * opened * up)[self.of_near] * p1
             p2 = (k2 - s.discount * t2 + weight) / (s.strength + np.bincount(self.of_near, k2, len(up)) * up)[self.of_near]
-            t3 = draw_tables(self.n, (s.strength + s.discount * opened_context * up_context)[self.of_context] * p2[self.pair], s.discount, random)
-            k2 = self.per_pair(t3).astype(np.int64)
+            t3 = t3.copy()
+            t3[many] = draw_tables(customers, (s.strength + s.discount * opened_context * up_context)[context] * p2[pair], s.discount, random)
+            k2 = fixed + np.bincount(pair, t3[many], len(fixed)).astype(np.int64)
             t2 = draw_tables(k2, weight, s.discount, random)
             if sweep >= s.sweeps - s.samples:
                 out.append((t3, k2, t2))
