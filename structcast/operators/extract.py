@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -122,14 +122,18 @@ class Extractor:
         self.checks = self.checks and bool(self.target.schema) and _constrained(self.target.schema)
         self._whole = "int" in repr(self.target)  # may the value hold a whole number?
 
+    def but(self, **changes) -> Extractor:
+        """The same extractor with other options, checks, rules or style."""
+        return replace(self, **changes) if changes else self
+
     # -- one text ---------------------------------------------------------------------------------------------------
 
     def fit(self, text: str) -> Fit | None:
         try:
             got = self._fitter()(readings(text, self.options))
-        except RecursionError:  # nested deeper than any column is
-            got = None
-        return None if got is None or self._whole and _too_large(got.value, self.target.shape) else got
+            return None if got is None or self._whole and _too_large(got.value, self.target.shape) else got
+        except RecursionError:  # nested deeper than the interpreter goes: nothing fits, and the result says so
+            return None
 
     def _fitter(self) -> Fitter:
         found = self.__dict__.get("_own")

@@ -13,7 +13,7 @@ from ..plans.shapes import NULL, Again, Choice, Const, ListOf, MapOf, OneOf, Rec
 from .flags import Flag, cost
 from .matching import Names, plain_key
 
-DEEPEST = 64  # nesting beyond which nothing fits, for shapes and values that never end
+FRESH: frozenset[str] = frozenset()  # nothing expanded yet
 
 
 class Fit(NamedTuple):
@@ -89,7 +89,8 @@ def _type(v: object) -> str:
 class Fitter:
     """Fits values to the shapes of one target. strict() takes only what is of the shape already; loose() converts.
 
-    hint: the union option that the list item before took, which unions try first.
+    hint: the union option that the list item before took, which unions try first. seen: the definitions expanded for this
+    very value; one that comes up again would go on for ever, and fits nothing. Steps into a value start with none.
     """
 
     def __init__(self, target: Target):
@@ -98,23 +99,21 @@ class Fitter:
 
     def __call__(self, reading: object) -> Fit | None:
         """The best fit; None if nothing fits, or if fitting never ends."""
-        return self.loose(reading, self.target.shape, None, 0)
+        return self.loose(reading, self.target.shape, None, FRESH)
 
     # -- strict ---------------------------------------------------------------------------------------------------
 
-    def strict(self, v: object, shape: Shape, hint: int | None, depth: int) -> Fit | None:
-        if depth > DEEPEST:
-            return None
+    def strict(self, v: object, shape: Shape, hint: int | None, seen: frozenset[str]) -> Fit | None:
         if isinstance(v, Readings):
             fits = []
             for one in v.values:
-                f = self.strict(one, shape, hint, depth)
+                f = self.strict(one, shape, hint, seen)
                 if f is not None and not cost(f.flags):
                     return f
                 fits += [f] if f is not None else []
             return better(fits)
         if isinstance(v, (Fenced, Mended)):
-            return self.strict(v.value, shape, hint, depth)
+            return self.strict(v.value, shape, hint, seen)
         match shape:
             case Scalar(kind):
                 kind_of = {"string": "text", "int": "number", "float": "number", "bool": "bool", "null": "null"}[kind]
@@ -126,25 +125,25 @@ class Fitter:
                 name = self.names(shape).exact.get(v) if isinstance(v, str) else None
                 return None if name is None else Fit(name, [])
             case Record():
-                return self._strict_record(v, shape, hint, depth)
+                return self._strict_record(v, shape, hint, seen)
             case ListOf(item):
-                return self._strict_list(v, item, hint, depth)
+                return self._strict_list(v, item, hint, seen)
             case MapOf():
-                return self._map(v, shape, hint, depth, self.strict, False)
+                return self._map(v, shape, hint, seen, self.strict, False)
             case OneOf():
-                return self._either(v, shape, hint, depth, (self.strict,))
+                return self._either(v, shape, hint, seen, (self.strict,))
             case Again(name):
                 meant = self.target.definitions.get(name)
-                return None if meant is None else self.strict(v, meant, hint, depth + 1)
+                return None if meant is None or name in seen else self.strict(v, meant, hint, seen | {name})
 
-    def _strict_record(self, v: object, shape: Record, hint: int | None, depth: int) -> Fit | None:
+    def _strict_record(self, v: object, shape: Record, hint: int | None, seen: frozenset[str]) -> Fit | None:
         if not isinstance(v, Pairs):
             return None
         fields = _field_table(shape)
         value, flags = {}, []
         for key, x in v.items:
             f = fields.get(plain_key(key))
-            got = None if f is None else self.strict(x, f.shape, hint, depth + 1)
+            got = None if f is None else self.strict(x, f.shape, hint, FRESH)
             if got is None:
                 return None
             value[f.name] = got.value
@@ -157,12 +156,12 @@ class Fitter:
                 flags.append(Flag("optional-default-from-no-value"))
         return Fit(value, flags)
 
-    def _strict_list(self, v: object, item: Shape, hint: int | None, depth: int) -> Fit | None:
+    def _strict_list(self, v: object, item: Shape, hint: int | None, seen: frozenset[str]) -> Fit | None:
         if not isinstance(v, list):
             return None
         value, flags = [], []
         for x in v:
-            got = self.strict(x, item, hint, depth + 1)
+            got = self.strict(x, item, hint, FRESH)
             if got is None:
                 return None
             value.append(got.value)
@@ -172,9 +171,7 @@ class Fitter:
 
     # -- loose ----------------------------------------------------------------------------------------------------
 
-    def loose(self, v: object, shape: Shape, hint: int | None, depth: int) -> Fit | None:
-        if depth > DEEPEST:
-            return None
+    def loose(self, v: object, shape: Shape, hint: int | None, seen: frozenset[str]) -> Fit | None:
         match shape:
             case Scalar(kind):
                 return getattr(self, "_" + kind)(v)
@@ -183,16 +180,16 @@ class Fitter:
             case Choice():
                 return self._choice(v, shape)
             case Record():
-                return self._record(v, shape, hint, depth)
+                return self._record(v, shape, hint, seen)
             case ListOf():
-                return self._list(v, shape, hint, depth)
+                return self._list(v, shape, hint, seen)
             case MapOf():
-                return self._loose_map(v, shape, hint, depth)
+                return self._loose_map(v, shape, hint, seen)
             case OneOf():
-                return self._either(v, shape, hint, depth, (self.strict, self.loose))
+                return self._either(v, shape, hint, seen, (self.strict, self.loose))
             case Again(name):
                 meant = self.target.definitions.get(name)
-                return None if meant is None else self.loose(v, meant, hint, depth + 1)
+                return None if meant is None or name in seen else self.loose(v, meant, hint, seen | {name})
 
     def _string(self, v: object) -> Fit:
         if isinstance(v, (Fenced, Mended)):
@@ -286,16 +283,16 @@ class Fitter:
         found = self.names(shape).find(text)
         return None if found is None else Fit(*found)
 
-    def _record(self, v: object, shape: Record, hint: int | None, depth: int) -> Fit | None:
+    def _record(self, v: object, shape: Record, hint: int | None, seen: frozenset[str]) -> Fit | None:
         if isinstance(v, (Fenced, Mended)):
-            got = self._record(v.value, shape, hint, depth)
+            got = self._record(v.value, shape, hint, seen)
             mark = Flag("object-from-markdown") if isinstance(v, Fenced) else Flag("object-from-fixed-json", ", ".join(v.fixes))
             return None if got is None else Fit(got.value, [*got.flags, mark])
         if isinstance(v, Readings):
-            fits = [self._record(x, shape, hint, depth) for x in (*v.values, v.raw)]
+            fits = [self._record(x, shape, hint, seen) for x in (*v.values, v.raw)]
             return better([f for f in fits if f is not None])
         if not isinstance(v, Pairs):
-            return self._implied(v, shape, hint, depth)
+            return self._implied(v, shape, hint, seen)
         fields = _field_table(shape)
         value, flags = {}, []
         for key, x in v.items:
@@ -303,11 +300,11 @@ class Fitter:
             if f is None:
                 flags.append(Flag("extra-key", key))
                 continue
-            got = self.loose(x, f.shape, hint, depth + 1)
+            got = self.loose(x, f.shape, hint, FRESH)
             if got is not None:
                 value[f.name] = got.value
                 flags += got.flags
-        if not value and v.items and (whole := self._implied(v, shape, hint, depth)) is not None:
+        if not value and v.items and (whole := self._implied(v, shape, hint, seen)) is not None:
             return whole
         for f in shape.fields:
             if f.name not in value:
@@ -315,30 +312,30 @@ class Fitter:
                 flags.append(Flag("optional-default-from-no-value" if f.optional else "default-from-no-value"))
         return Fit(value, flags)
 
-    def _implied(self, v: object, shape: Record, hint: int | None, depth: int) -> Fit | None:
+    def _implied(self, v: object, shape: Record, hint: int | None, seen: frozenset[str]) -> Fit | None:
         """A record of one field around a bare value."""
         if len(shape.fields) != 1:
             return None
         f = shape.fields[0]
-        got = self.loose(v, f.shape, hint, depth + 1)
+        got = self.loose(v, f.shape, hint, seen)
         return None if got is None else Fit({f.name: got.value}, [*got.flags, Flag("implied-key", f.name)])
 
-    def _list(self, v: object, shape: ListOf, hint: int | None, depth: int) -> Fit | None:
+    def _list(self, v: object, shape: ListOf, hint: int | None, seen: frozenset[str]) -> Fit | None:
         if isinstance(v, Fenced):
-            got = self._list(v.value, shape, hint, depth)
+            got = self._list(v.value, shape, hint, seen)
             return None if got is None else Fit(got.value, [*got.flags, Flag("object-from-markdown")])
         if isinstance(v, Mended):
-            return self._list(v.value, shape, hint, depth)
+            return self._list(v.value, shape, hint, seen)
         if isinstance(v, Readings):
-            return self._first(v, lambda x: self._list(x, shape, hint, depth), False)
+            return self._first(v, lambda x: self._list(x, shape, hint, seen), False)
         if v is None:
             return Fit([], [Flag("single-to-array")])
         if not isinstance(v, list):
-            got = self.loose(v, shape.item, hint, depth + 1)
+            got = self.loose(v, shape.item, hint, seen)
             return None if got is None else Fit([got.value], [*got.flags, Flag("single-to-array")])
         value, flags = [], []
         for i, x in enumerate(v):
-            got = self.loose(x, shape.item, hint, depth + 1)
+            got = self.loose(x, shape.item, hint, FRESH)
             if got is None:
                 flags.append(Flag("array-item-parse-error", str(i), i))
             else:
@@ -347,24 +344,24 @@ class Fitter:
                 hint = _option_of(got.flags)
         return Fit(value, flags)
 
-    def _loose_map(self, v: object, shape: MapOf, hint: int | None, depth: int) -> Fit | None:
+    def _loose_map(self, v: object, shape: MapOf, hint: int | None, seen: frozenset[str]) -> Fit | None:
         if isinstance(v, Fenced):
-            got = self._loose_map(v.value, shape, hint, depth)
+            got = self._loose_map(v.value, shape, hint, seen)
             return None if got is None else Fit(got.value, [*got.flags, Flag("object-from-markdown")])
         if isinstance(v, Mended):
-            return self._loose_map(v.value, shape, hint, depth)
+            return self._loose_map(v.value, shape, hint, seen)
         if isinstance(v, Readings):
-            return next((f for f in (self._loose_map(x, shape, hint, depth) for x in v.values) if f is not None), None)
-        return self._map(v, shape, hint, depth, self.loose, True)
+            return next((f for f in (self._loose_map(x, shape, hint, seen) for x in v.values) if f is not None), None)
+        return self._map(v, shape, hint, seen, self.loose, True)
 
-    def _map(self, v: object, shape: MapOf, hint: int | None, depth: int, fit, drop: bool) -> Fit | None:
+    def _map(self, v: object, shape: MapOf, hint: int | None, seen: frozenset[str], fit, drop: bool) -> Fit | None:
         """A map of an object; an entry that doesn't fit is dropped, or spoils the map."""
         if not isinstance(v, Pairs):
             return None
         value, flags = {}, [Flag("object-to-map")]
         for i, (key, x) in enumerate(v.items):
-            got = fit(x, shape.value, hint, depth + 1)
-            name = None if got is None else fit(key, shape.key, hint, depth + 1)
+            got = fit(x, shape.value, hint, FRESH)
+            name = None if got is None else fit(key, shape.key, hint, FRESH)
             if name is None:
                 if not drop:
                     return None
@@ -374,7 +371,7 @@ class Fitter:
             flags += name.flags + got.flags
         return Fit(value, flags)
 
-    def _either(self, v: object, shape: OneOf, hint: int | None, depth: int, ways) -> Fit | None:
+    def _either(self, v: object, shape: OneOf, hint: int | None, seen: frozenset[str], ways) -> Fit | None:
         """The option that fits best, by each way in turn: the hinted one or the first if it costs nothing."""
         options = shape.options
         if v is None and NULL in options:
@@ -383,7 +380,7 @@ class Fitter:
             got = [None] * len(options)
             tried = range(len(options))
             for k in tried if hint is None or hint >= len(options) else (hint, *(k for k in tried if k != hint)):
-                f = fit(v, options[k], None, depth + 1)
+                f = fit(v, options[k], None, seen)
                 if f is not None:
                     got[k] = Fit(f.value, [*f.flags, Flag("union-match", str(k), k)])
                     if not cost(f.flags):

@@ -2,7 +2,7 @@
 
 After each chunk the whole text so far is fitted again, and the result is taken up if its score is at most that of the
 last one taken up; otherwise the last one stays, with the new raw text. At the end the whole text is fitted once more,
-whatever came before, and checked.
+whatever came before, and checked. Options, checks and rules can be set anew for each stream (changes).
 """
 
 from __future__ import annotations
@@ -15,15 +15,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.extract import Extractor, Shaped, column_value
-from ..operators.flags import cost
+from ..operators.extract import FLAG_TYPE, Extractor, Shaped, column_value
+from ..operators.flags import Flag, cost
 
 
 class TextStream:
     """One stream, fed by its owner."""
 
-    def __init__(self, extractor: Extractor):
-        self.extractor, self.text, self.best, self.closed = extractor, "", None, False
+    def __init__(self, extractor: Extractor, **changes):
+        self.extractor, self.text, self.best, self.closed = extractor.but(**changes), "", None, False
 
     def feed(self, chunk: str) -> Shaped | None:
         if self.closed:
@@ -48,12 +48,13 @@ class TextStream:
         return self.extractor.shape(self.text)
 
 
-def replay(df: DataFrame, extractor: Extractor, key: str | list[str], seq: str, chunk: str) -> DataFrame:
+def replay(df: DataFrame, extractor: Extractor, key: str | list[str], seq: str, chunk: str, **changes) -> DataFrame:
     """All chunks of finished streams with the result after each: text, partial, and final in each stream's last row.
 
     A running minimum of scores and the last row that attains it stand for the taking up of results. seq must be unique
     in a stream. A stream's texts are held together by their window only, so a stream must fit a task.
     """
+    extractor = extractor.but(**changes)
     keys = [key] if isinstance(key, str) else key
     so_far = Window.partitionBy(*keys).orderBy(seq).rowsBetween(Window.unboundedPreceding, 0)
     after = Window.partitionBy(*keys).orderBy(seq).rowsBetween(1, Window.unboundedFollowing)
@@ -64,29 +65,31 @@ def replay(df: DataFrame, extractor: Extractor, key: str | list[str], seq: str,
     return least.withColumn("partial", best).withColumn("final", F.when(F.col("__last"), F.col("__r"))).drop("__r", "__low", "__last")
 
 
-def live(df: DataFrame, extractor: Extractor, key: str, seq: str, chunk: str, last: str, idle: str | None = None) -> DataFrame:
+def live(df: DataFrame, extractor: Extractor, key: str, seq: str, chunk: str, last: str, idle: str | None = None, **changes) -> DataFrame:
     """A streaming frame of chunks to a frame of partial and, at a stream's end, final results.
 
     Columns key (string), seq (long, from 0), chunk and last (whether it is the stream's last). Chunks that come early
     wait in the state until those before them are there. A stream ends with its last chunk, or after `idle` without any
     (a duration of Spark's), and its state goes.
     """
+    extractor = extractor.but(**changes)
     data = extractor.data_type
-    out = T.StructType([T.StructField("key", T.StringType()), T.StructField("seq", T.LongType()), T.StructField("final", T.BooleanType()), T.StructField("ok", T.BooleanType()), T.StructField("data", data), T.StructField("errors", T.ArrayType(T.StringType())), T.StructField("score", T.LongType()), T.StructField("raw", T.StringType())])
-    state_type = "next long, text string, waiting string, score long, data string, ended boolean"
+    out = T.StructType([T.StructField("key", T.StringType()), T.StructField("seq", T.LongType()), T.StructField("final", T.BooleanType()), T.StructField("ok", T.BooleanType()), T.StructField("data", data), T.StructField("errors", T.ArrayType(T.StringType())), T.StructField("score", T.LongType()), T.StructField("flags", FLAG_TYPE), T.StructField("raw", T.StringType())])
+    state_type = "next long, text string, waiting string, score long, data string, flags string, ended boolean"
     shape = extractor.target.shape
     millis = None if idle is None else _millis(idle)
 
     def row(name: str, n: int, final: bool, r: Shaped | None) -> dict:
         if r is None:
-            return {"key": name, "seq": n, "final": final, "ok": None, "data": None, "errors": None, "score": None, "raw": None}
-        return {"key": name, "seq": n, "final": final, "ok": r.ok, "data": column_value(r.data, shape), "errors": r.errors, "score": r.score, "raw": r.raw}
+            return {"key": name, "seq": n, "final": final, "ok": None, "data": None, "errors": None, "score": None, "flags": None, "raw": None}
+        flags = [{"kind": f.kind, "penalty": f.penalty, "path": f.path, "message": f.message} for f in r.flags]
+        return {"key": name, "seq": n, "final": final, "ok": r.ok, "data": column_value(r.data, shape), "errors": r.errors, "score": r.score, "flags": flags, "raw": r.raw}
 
     def step(keys: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         import json
 
         name = keys[0]
-        at, text, waiting, score, held, ended = state.get if state.exists else (0, "", "{}", None, None, False)
+        at, text, waiting, score, held, marks, ended = state.get if state.exists else (0, "", "{}", None, None, None, False)
         rows = []
         if state.hasTimedOut:
             rows.append(row(name, at - 1, True, extractor.shape(text)))
@@ -100,7 +103,7 @@ def live(df: DataFrame, extractor: Extractor, key: str, seq: str, chunk: str, la
             stream = TextStream(extractor)
             stream.text = text
             if held is not None:
-                stream.best = Shaped(True, json.loads(held), [], score, [], text)
+                stream.best = Shaped(True, json.loads(held), [], score, [Flag(*f) for f in json.loads(marks)], text)
             while str(at) in early and not ended:
                 c, ended = early.pop(str(at))
                 rows.append(row(name, at, False, stream.feed(c)))
@@ -110,7 +113,8 @@ def live(df: DataFrame, extractor: Extractor, key: str, seq: str, chunk: str, la
                 state.remove()
             else:
                 best = stream.best
-                state.update((at, stream.text, json.dumps(early), None if best is None else best.score, None if best is None else json.dumps(best.data), False))
+                held = (None, None, None) if best is None else (best.score, json.dumps(best.data), json.dumps(best.flags))
+                state.update((at, stream.text, json.dumps(early), *held, False))
                 if millis:
                     state.setTimeoutDuration(millis)
         if rows:

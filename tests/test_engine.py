@@ -162,10 +162,32 @@ def test_ranking():
 def test_recursion_ends():
     tree = {"$defs": {"N": {"type": "object", "properties": {"next": {"$ref": "#/$defs/N"}}, "required": ["next"]}}, "$ref": "#/$defs/N"}
     assert run(tree, "bare text") == (None, None)
+    for form in ({"$ref": "#/$defs/N"}, {"type": "array", "items": {"$ref": "#/$defs/N"}}):  # bare values, around which records and lists could be put for ever
+        tree["$defs"]["N"]["properties"]["next"] = form
+        assert run(tree, "7")[0] in (None, {"next": []})
     deep = "[" * 5000
     assert Extractor({"type": "array", "items": {"type": "string"}}).shape(deep) is not None
 
 
+def test_deep_values_are_kept():
+    schema, want = {"type": "integer"}, 5.0
+    for _ in range(70):
+        schema, want = {"type": "array", "items": schema}, [want]
+    assert run(schema, "[" * 70 + "5" + "]" * 70) == (want, 0)
+    assert run(schema, "5")[0] == want  # a bare value in as many lists as are asked for
+    node = {"$defs": {"N": {"type": "object", "properties": {"v": {"type": "integer"}, "next": {"anyOf": [{"$ref": "#/$defs/N"}, {"type": "null"}]}}, "required": ["v"]}}, "$ref": "#/$defs/N"}
+    text = '{"v": 0, "next": null}'
+    for i in range(1, 100):
+        text = f'{{"v": {i}, "next": {text}}}'
+    r = Extractor(node).shape(text)
+    depth, at = 0, r.data
+    while at is not None:
+        depth, at = depth + 1, at["next"]
+    assert r.ok and r.score == 0 and depth == 100
+    far = Extractor({"type": "array", "items": {"type": "string"}}).shape("[" * 3000 + "]" * 3000)
+    assert not far.ok or far.data is not None  # never ok with the value gone
+
+
 def test_compiler(spark):
     t = compile_schema({"$defs": {"A": {"type": "object", "properties": {"b": {"$ref": "#/definitions/B"}, "a": {"$ref": "#/$defs/A"}}}, "B": {"type": "integer"}}, "$ref": "#/$defs/A"})
     assert t.shape == Record("A", (Field("b", INT, True), Field("a", Again("A"), True)))

@@ -74,3 +74,16 @@ def test_live(spark, tmp_path):
     want = [s.feed(c) for c in parts]
     have = sorted((r.seq, r.score) for r in got if r.key == "a" and not r.final)
     assert have == [(i, None if w is None else w.score) for i, w in enumerate(want)]
+    told = sorted((r.seq, None if r.flags is None else [(f.kind, f.message) for f in r.flags]) for r in got if r.key == "a" and not r.final)
+    assert told == [(i, None if w is None else [(f.kind, f.message) for f in w.flags]) for i, w in enumerate(want)] and all(r.flags is not None for r in finals)
+
+
+def test_a_stream_has_its_own_options():
+    own = Extractor({"type": "integer", "minimum": 5})
+    assert not own.shape("3").ok and own.but() is own
+    s = TextStream(own, checks=False)
+    s.feed("3")
+    assert s.close().ok and own.checks
+    kept = TextStream(own, rules=(lambda v: "odd" if v % 2 else None,))
+    kept.feed("7")
+    assert kept.close().errors == ["odd"]
