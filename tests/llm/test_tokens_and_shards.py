@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import struct
 import zlib
@@ -6,6 +7,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -129,6 +131,41 @@ def test_shards(spark):
     assert len(set(key(again)) ^ set(key(got))) <= 2 * sum(1 for t in texts if t == "same")
 
 
+def placed(number, rows, seed, rounds=6):
+    """The permutation again, number by number."""
+    a = math.isqrt(max(rows, 1) - 1) + 1
+    b = -(-rows // a)
+
+    def chained(*values):
+        h = 42
+        for v, size in values:
+            h = xxhash.xxh64_intdigest(v.to_bytes(size, "little"), h)
+        return h - (1 << 64) if h >> 63 else h
+
+    while True:
+        left, right = divmod(number, b)
+        for k in range(rounds):
+            if k % 2 == 0:
+                left = (left + chained((right, 8), (k, 4), (seed, 4)) % a) % a
+            else:
+                right = (right + chained((left, 8), (k, 4), (seed, 4)) % b) % b
+        number = left * b + right
+        if number < rows:
+            return number
+
+
+def test_shards_of_the_table(spark):
+    """Every shard and slot of the query reckoned again."""
+    from structcast.llm.queries import op9_shards
+
+    docs = sorted((r.doc_id, r.text or "") for r in spark.read.parquet(f"{SF}/documents.parquet").collect())
+    got = {r.doc_id: r for r in op9_shards(spark, SF).collect()}
+    assert len(got) == len(docs)
+    for i, (d, t) in enumerate(docs):
+        place, r = placed(i, len(docs), 7), got[d]
+        assert (r.size, r.text_crc32, r.law, r.shard, r.slot, r.grown_shard) == (len(t.encode()) + 1, zlib.crc32(t.encode()), "rows", place % 8, place // 8, None)
+
+
 def test_full_table_keeps_ids_right():
     from structcast.llm._pieces import PieceTable, SpanTable
 
