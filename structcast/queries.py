@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from .functions.readings import Options
 from .operators.extract import Extractor, best_candidate, feedback, quality_rollup, ruled, score_of
 from .operators.sql import register
+from .plans.prompt import Style
 from .plans.shapes import INT, NULL, STRING, Choice, Field, ListOf, MapOf, Member, OneOf, Record, Target
 from .streaming.streams import replay
 
@@ -439,3 +440,136 @@ def built_shapes(spark, sf_dir):
     """A target built by hand, with an alias."""
     df = _run(_table(spark, sf_dir, "nation"), BUILT, F.format_string('{"tag label": "%s", "ranks": [%d, null]}', "n_name", "n_regionkey"))
     return _outcome(df, "n_nationkey", "r.data.label", F.size("r.data.ranks").cast("long").alias("n"))
+
+
+@_query(
+    "select p_partkey, p_size > 5 and p_size < 40 as ok, coalesce(case when p_size <= 5 then 'size: Value ' || p_size || ' is not greater than exclusive minimum 5' "
+    "when p_size >= 40 then 'size: Value ' || p_size || ' is not less than exclusive maximum 40' end, '') as errors, 0::bigint as score from part"
+)
+def exclusive_bounds(spark, sf_dir):
+    schema = _object(size={"type": "integer", "exclusiveMinimum": 5, "exclusiveMaximum": 40})
+    return _outcome(_run(_table(spark, sf_dir, "part"), schema, F.format_string('{"size": %d}', "p_size")), "p_partkey", F.array_join("r.errors", "; ").alias("errors"))
+
+
+@_query(
+    "select o_orderkey, o_orderkey % 30 < 24 as moment_ok, o_custkey % 26 < 24 and o_orderkey % 70 < 60 as time_ok, "
+    "case when o_orderkey % 30 >= 24 then 'at: \"' || strftime(o_orderdate, '%Y-%m-%d') || 'T' || (o_orderkey % 30) || ':05:09Z\" is not a valid date-time' end as told from orders"
+)
+def moments(spark, sf_dir):
+    """Dates with a time, and times, with hours and minutes that don't always exist."""
+    schema = _object(at={"type": "string", "format": "date-time"}, hour={"type": "string", "format": "time"})
+    at = F.format_string("%sT%02d:05:09Z", F.date_format("o_orderdate", "yyyy-MM-dd"), F.col("o_orderkey") % 30)
+    hour = F.format_string("%02d:%02d:07", F.col("o_custkey") % 26, F.col("o_orderkey") % 70)
+    df = _run(_table(spark, sf_dir, "orders"), schema, F.to_json(F.struct(at.alias("at"), hour.alias("hour"))))
+    wrong = lambda name: F.get(F.filter(F.col("r.errors"), lambda e: e.startswith(f"{name}: ")), F.lit(0))
+    return df.select("o_orderkey", wrong("at").isNull().alias("moment_ok"), wrong("hour").isNull().alias("time_ok"), wrong("at").alias("told"))
+
+
+@_query(
+    "select s_suppkey, s_suppkey % 2 = 0 as uri_ok, s_suppkey % 3 <> 0 as uuid_ok, s_suppkey % 5 <> 0 as ipv6_ok, "
+    "(s_suppkey % 2)::bigint + (s_suppkey % 3 = 0)::bigint + (s_suppkey % 5 = 0)::bigint as n_errors from supplier"
+)
+def identifiers(spark, sf_dir):
+    schema = _object(link={"type": "string", "format": "uri"}, id={"type": "string", "format": "uuid"}, host={"type": "string", "format": "ipv6"})
+    n = F.col("s_suppkey")
+    link = F.concat(F.when(n % 2 == 0, "https://example.org/").otherwise("no scheme/"), n.cast("string"))
+    id_ = F.concat(F.lpad(F.hex(n.cast("long")), 8, "0"), F.lit("-12ab-4CDE-8f00-"), F.when(n % 3 != 0, "0123456789ab").otherwise("0123456789ag"))
+    host = F.concat(F.lit("2001:db8::"), F.when(n % 5 != 0, F.lower(F.hex((n % 4096).cast("long")))).otherwise("12345"))
+    df = _run(_table(spark, sf_dir, "supplier"), schema, F.to_json(F.struct(link.alias("link"), id_.alias("id"), host.alias("host"))))
+    fine = lambda name: ~F.exists(F.col("r.errors"), lambda e: e.startswith(f"{name}: "))
+    return df.select("s_suppkey", fine("link").alias("uri_ok"), fine("id").alias("uuid_ok"), fine("host").alias("ipv6_ok"), F.size("r.errors").cast("long").alias("n_errors"))
+
+
+@_query(
+    "select s_suppkey, (s_nationkey % 4)::bigint as n, s_nationkey % 4 in (1, 2) as ok, case s_nationkey % 4 when 0 then 'Object has 0 properties, minimum is 1' when 3 then 'Object has 3 properties, maximum is 2' end as error from supplier"
+)
+def property_counts(spark, sf_dir):
+    schema = {"type": "object", "additionalProperties": WHOLE, "minProperties": 1, "maxProperties": 2}
+    members = F.slice(F.array(*[F.lit(f'"k{i}": {i}') for i in range(3)]), F.lit(1), (F.col("s_nationkey") % 4).cast("int"))
+    df = _run(_table(spark, sf_dir, "supplier"), schema, F.concat(F.lit("{"), F.array_join(members, ", "), F.lit("}")))
+    return df.select("s_suppkey", F.size("r.data").cast("long").alias("n"), F.col("r.ok").alias("ok"), F.get("r.errors", F.lit(0)).alias("error"))
+
+
+@_query("select c_custkey, case c_custkey % 3 when 0 then 'Crème brûlée' when 1 then 'Smørrebrød' else 'Weißwurst' end as dish, true as ok, 3::bigint as score from customer")
+def enum_accents(spark, sf_dir):
+    """Names told without their accents and ligatures."""
+    schema = {"type": "string", "enum": ["Crème brûlée", "Smørrebrød", "Weißwurst"]}
+    said = F.element_at(F.array(*map(F.lit, ("Creme brulee", "Smorrebrod", "Weisswurst"))), (F.col("c_custkey") % 3 + 1).cast("int"))
+    return _outcome(_run(_table(spark, sf_dir, "customer"), schema, said), "c_custkey", F.col("r.data").alias("dish"))
+
+
+@_query("select n_nationkey, 'say \"' || n_name || '\"' || chr(10) || 'twice' as quote, 'select ' || n_regionkey as code, true as ok, 0::bigint as score from nation")
+def block_strings(spark, sf_dir):
+    """Strings in three quotes and in three backticks."""
+    text = F.concat(F.lit('{quote: """say "'), F.col("n_name"), F.lit('"\ntwice""", code: ```sql\nselect '), F.col("n_regionkey").cast("string"), F.lit("```}"))
+    return _outcome(_run(_table(spark, sf_dir, "nation"), _object(quote=TEXT, code=TEXT), text), "n_nationkey", "r.data.quote", "r.data.code")
+
+
+@_query("select n_nationkey, n_regionkey::bigint as a, 4::bigint as n, n_name as last, true as ok, 2::bigint as score from nation")
+def repaired_array(spark, sf_dir):
+    """An array of bare and quoted words, cut before its end; its number becomes text."""
+    text = F.format_string("[one, 'two', %d, \"%s", "n_regionkey", "n_name")
+    df = _run(_table(spark, sf_dir, "nation"), {"type": "array", "items": TEXT}, text)
+    return _outcome(df.withColumn("x", F.col("r.data")), "n_nationkey", F.size("x").cast("long").alias("n"), F.element_at("x", -1).alias("last"), F.get("x", F.lit(2)).cast("long").alias("a"))
+
+
+@_query("select event_id, case when event_id % 3 = 0 then null else user_id end as u, true as ok, (case event_id % 3 when 2 then 1 else 0 end)::bigint as score from events")
+def type_list(spark, sf_dir):
+    """Several types in one keyword."""
+    value = F.when(F.col("event_id") % 3 == 0, F.lit("null")).when(F.col("event_id") % 3 == 1, F.col("user_id").cast("string")).otherwise(F.format_string('"%d"', "user_id"))
+    return _outcome(_run(_table(spark, sf_dir, "events"), _object(u={"type": ["integer", "null"]}), F.concat(F.lit('{"u": '), value, F.lit("}"))), "event_id", "r.data.u")
+
+
+@_query("select s_suppkey, '[1]' as item_path, 'bad' as entry_path, true as told from supplier")
+def flag_paths(spark, sf_dir):
+    """Where in the value a part didn't fit."""
+    schema = _object(xs={"type": "array", "items": WHOLE}, m={"type": "object", "additionalProperties": WHOLE})
+    df = _run(_table(spark, sf_dir, "supplier"), schema, F.format_string('{"xs": [%d, "nothing"], "m": {"good": 1, "bad": "nothing"}}', "s_suppkey"))
+    path = lambda kind: F.get(F.filter(F.col("r.flags"), lambda f: f["kind"] == kind), F.lit(0))
+    return df.select("s_suppkey", path("array-item-parse-error")["path"].alias("item_path"), path("map-value-parse-error")["path"].alias("entry_path"), (F.length(path("array-item-parse-error")["message"]) > 0).alias("told"))
+
+
+@_query("select n_nationkey, '[' || n_nationkey || ',\"' || n_name || '\",' || n_regionkey || ']' as xs, true as ok, 0::bigint as score from nation")
+def list_of_unions(spark, sf_dir):
+    """Items of a list by turns of either type; each item's option is tried first for the next."""
+    df = _run(_table(spark, sf_dir, "nation"), _object(xs={"type": "array", "items": {"anyOf": [WHOLE, TEXT]}}), F.format_string('{"xs": [%d, "%s", %d]}', "n_nationkey", "n_name", "n_regionkey"))
+    return _outcome(df, "n_nationkey", F.concat(F.lit("["), F.array_join("r.data.xs", ","), F.lit("]")).alias("xs"))
+
+
+@_query("select o_orderkey, o_totalprice as price from orders where o_totalprice >= 1000")
+def asserted_prices(spark, sf_dir):
+    """Results that must be ok: a single one that isn't would fail the query."""
+    schema = {"type": "number", "minimum": 1000}
+    dear = _table(spark, sf_dir, "orders").where("o_totalprice >= 1000").withColumn("text", F.col("o_totalprice").cast("decimal(18,2)").cast("string"))
+    return dear.transform(Extractor(schema).into("text", "r", "FAILFAST")).select("o_orderkey", F.col("r.data").alias("price"))
+
+
+@_query("select n_nationkey, part, case part when 1 then n_nationkey end as first, part = 2 as is_last, case part when 2 then true end as done from nation, (select unnest([1, 2]) as part)")
+def stream_options(spark, sf_dir):
+    """A stream without the checks of its extractor: values under the minimum are ok at the end."""
+    chunks = F.array(F.struct(F.lit(1).alias("part"), F.format_string('{"n": %d', "n_nationkey").alias("chunk")), F.struct(F.lit(2).alias("part"), F.lit("}").alias("chunk")))
+    parts = _table(spark, sf_dir, "nation").select("n_nationkey", F.explode(chunks).alias("c")).select("n_nationkey", "c.part", "c.chunk")
+    out = replay(parts, Extractor(_object(n={"type": "integer", "minimum": 1000})), "n_nationkey", "part", "chunk", checks=False)
+    return out.select("n_nationkey", "part", F.when(F.col("part") == 1, F.col("partial.data.n")).alias("first"), F.col("final").isNotNull().alias("is_last"), F.col("final.ok").alias("done"))
+
+
+_KINDS = Target(
+    Record(
+        "Order",
+        (
+            Field("kind", Choice("Kind", (Member("A", description="first"), Member("B"))), description="what it is"),
+            Field("tags", ListOf(STRING), optional=True),
+            Field("counts", MapOf(STRING, INT)),
+            Field("either", OneOf((INT, STRING, NULL))),
+        ),
+    )
+)
+_KINDS_TEXT = "Kind\n----\n- A: first\n- B\n\nAnswer in JSON using this schema:\n{\n  kind: Kind, // what it is\n  tags: string[] | null,\n  counts: map<string, int>,\n  either: int or string | null,\n}"
+_STYLED_TEXT = 'Kind\n----\n* A: first\n* B\nOrder {\n  "kind": Kind, // what it is\n  "tags": string[] | null,\n  "counts": {[key: string]: int},\n  "either": int | string | null,\n}\n\nGo.\nOrder'
+
+
+@_query("select r_regionkey, $$" + _KINDS_TEXT + "$$ as usual, $$" + _STYLED_TEXT + "$$ as styled from region")
+def prompt_styles(spark, sf_dir):
+    """Hoisted choices, records, optional fields, lists, maps and unions, in the usual style and another."""
+    other = Style(opening="Go.", either=" | ", member="* ", hoist_records=True, quote_fields=True, map_style="object")
+    return _table(spark, sf_dir, "region").select("r_regionkey", F.lit(Extractor(_KINDS).prompt()).alias("usual"), F.lit(Extractor(_KINDS, style=other).prompt()).alias("styled"))
