@@ -6,6 +6,8 @@ import json
 import re
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
+from functools import reduce
+from operator import and_
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -22,6 +24,7 @@ from ..plans.shapes import BOOL, FLOAT, INT, STRING, Again, Choice, Const, ListO
 from .checks import violations
 from .fitting import Fit, Fitter
 from .flags import REPAIRS, Flag, cost
+from .matching import plain_key
 
 FLAG_TYPE = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("penalty", T.LongType()), T.StructField("path", T.StringType()), T.StructField("message", T.StringType())]))
 FAILED = "Failed to coerce value to target type"  # fixed value
@@ -241,7 +244,7 @@ class Extractor:
     def column(self, text: Column | str, fast: bool = True) -> Column:
         """A struct column: ok, data, errors, score, flags, raw; null for a null text.
 
-        Texts that are strict JSON and just what a flat record asks for are read by Catalyst expressions; the others go
+        Texts that are strict JSON, bare or in one fence, and just what a record asks for are read by Catalyst expressions; the others go
         in Arrow batches to the kernel, which gets nulls in place of the texts already read.
         """
         text = F.col(text) if isinstance(text, str) else text
@@ -283,32 +286,64 @@ def extract_into(text: str, schema: object, out: str = "shaped", mode: str = "PE
 _GUARD = "structcast-guard-7f3a"
 _VARIANT = {INT: "BIGINT", FLOAT: r"(?:BIGINT|DOUBLE|DECIMAL\(\d+, ?\d+\))", STRING: "STRING", BOOL: "BOOLEAN"}
 _NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_]*")
+_ONE_FENCE = r"\A(?:[^`~]*\n)?[ \t]*```[^\n`~]*\n([^`~]*)\n[ \t]*```[^`~]*\z"  # a text with one code fence and no other backtick or tilde
+
+
+def _is_plain(shape: Shape) -> bool:
+    """Can Catalyst read the shape: required scalars, lists and records of such, with keys that differ also in plain form?"""
+    match shape:
+        case ListOf(item):
+            return _is_plain(item)
+        case Record(_, fields):
+            named = all(_NAME.fullmatch(f.name) and f.alias is None and not f.optional and _is_plain(f.shape) for f in fields)
+            return bool(fields) and named and len({plain_key(f.name) for f in fields}) == len(fields)
+    return shape in _VARIANT
+
+
+def _variant_pattern(shape: Shape) -> str:
+    """What schema_of_variant() says of a value of the shape."""
+    match shape:
+        case ListOf(item):
+            return f"ARRAY<(?:{_variant_pattern(item)}|VOID)>"
+        case Record(_, fields):
+            return "OBJECT<" + ", ".join(f"{f.name}: {_variant_pattern(f.shape)}" for f in sorted(fields, key=lambda f: f.name)) + ">"
+    return _VARIANT[shape]
+
+
+def _is_whole_value(x: Column, shape: Shape) -> Column:
+    """No null anywhere, and no whole number of more than 53 bits. A list's members may lack keys that others have: those are null."""
+    match shape:
+        case ListOf(item):
+            return x.isNotNull() & F.forall(x, lambda e: F.coalesce(_is_whole_value(e, item), F.lit(False)))
+        case Record(_, fields):
+            return reduce(and_, (_is_whole_value(x[f.name], f.shape) for f in fields), x.isNotNull())
+    return F.abs(x) <= _WHOLE if shape == INT else x.isNotNull()
 
 
 def _catalyst(e: Extractor, text: Column) -> tuple[Column, Column] | None:
-    """For a flat record of required scalars without constraints or rules: whether a text is plain for it, and its result.
+    """For a record of required values without constraints or rules: whether a text is plain for it, and its result.
 
-    A guard after the text makes trailing characters an error. The members must be exactly the fields, of their types;
-    whole numbers of more than 53 bits are left to the kernel.
+    A text is plain if it is strict JSON, or has that in its only code fence. A guard after the JSON makes trailing
+    characters an error. The members must be exactly the fields, of their types; whole numbers of more than 53 bits are
+    left to the kernel.
     """
     shape = e.target.shape
-    if not isinstance(shape, Record) or e.rules or not shape.fields:
-        return None
-    simple = all(f.shape in _VARIANT and _NAME.fullmatch(f.name) and f.alias is None for f in shape.fields)
-    if not simple or e.checks:
+    if not isinstance(shape, Record) or e.rules or e.checks or not _is_plain(shape):
         return None
-    both = F.try_parse_json(F.concat(F.lit("["), text, F.lit(f',"{_GUARD}"]')))
+    fenced = F.contains(text, F.lit("```")) & text.rlike(_ONE_FENCE) if e.options.fences else F.lit(False)
+    body = F.when(fenced, F.regexp_extract(text, _ONE_FENCE, 1)).otherwise(text)
+    both = F.try_parse_json(F.concat(F.lit("["), body, F.lit(f',"{_GUARD}"]')))
     guarded = (F.try_variant_get(both, "$[1]", "string") == _GUARD) & F.try_variant_get(both, "$[2]", "variant").isNull()
     value = F.try_variant_get(both, "$[0]", "variant")
-    members = ", ".join(f"{f.name}: {_VARIANT[f.shape]}" for f in sorted(shape.fields, key=lambda f: f.name))
-    kinds = {"int": "bigint", "float": "double", "string": "string", "bool": "boolean"}
-    got = [F.try_variant_get(value, f"$.{f.name}", kinds[f.shape.kind]).alias(f.name) for f in shape.fields]
-    easy = guarded & F.schema_of_variant(value).rlike(rf"^OBJECT<{members}>$")
+    got = [F.try_variant_get(value, f"$.{f.name}", spark_type(f.shape).simpleString()) for f in shape.fields]
+    easy = guarded & F.schema_of_variant(value).rlike(rf"^{_variant_pattern(shape)}$")
     for f, x in zip(shape.fields, got, strict=True):
-        easy &= F.abs(x) <= _WHOLE if f.shape == INT else x.isNotNull()
+        easy &= _is_whole_value(x, f.shape)
+    mark = Flag("object-from-markdown")
+    told = F.array(F.struct(F.lit(mark.kind).alias("kind"), F.lit(mark.penalty).cast("long").alias("penalty"), F.lit(mark.path).alias("path"), F.lit(mark.message).alias("message")))
     result = F.struct(
-        F.lit(True).alias("ok"), F.struct(*got).alias("data"), F.array().cast("array<string>").alias("errors"), F.lit(0).cast("long").alias("score"),
-        F.array().cast(FLAG_TYPE).alias("flags"), text.alias("raw"),
+        F.lit(True).alias("ok"), F.struct(*[x.alias(f.name) for f, x in zip(shape.fields, got, strict=True)]).alias("data"), F.array().cast("array<string>").alias("errors"), F.lit(0).cast("long").alias("score"),
+        F.when(fenced, told).otherwise(F.array().cast(FLAG_TYPE)).alias("flags"), text.alias("raw"),
     )
     return F.coalesce(easy, F.lit(False)) & text.isNotNull(), result.cast(e.result_type)
 
