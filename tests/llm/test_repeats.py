@@ -89,3 +89,20 @@ def test_table(spark):
     raw = [(r.text or "").encode() for r in rows]
     want = sorted((r.doc_id, *digest(t, g)) for r, t, g in zip(rows, raw, brute(raw, 400)))
     assert sorted(map(tuple, op6_run_index(spark, SF).collect())) == want
+
+
+def test_planted_passages(spark, tmp_path):
+    """Passages of over 50 words: from 400 bytes on they go from every text that has them, below that and elsewhere nothing does."""
+    from structcast.llm.queries import op6_run_index
+
+    r = random.Random(5)
+    words = lambda n, k: " ".join("".join(r.choice("abcdefghijkl") for _ in range(k)) for _ in range(n))
+    long, short = words(60, 7), words(55, 6)
+    assert len(long) >= 400 > len(short)
+    docs = [(i, f"{words(40, 6)} {(long, short, '')[i % 3]} {words(r.randint(1, 300), 6)}") for i in range(60)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = op6_run_index(spark, str(tmp_path))
+    assert got.columns == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    rows = got.collect()
+    assert {x.doc_id for x in rows if x.n_removed} == {i for i in range(60) if i % 3 == 0}
+    assert all(x.n_removed >= len(long) and x.n_spans == 1 for x in rows if x.doc_id % 3 == 0)
