@@ -18,38 +18,39 @@ from ._store import Slots, discard, release, stored, written
 COUNTERS = 1 << 16
 CHUNK_BITS = 17  # a token that has more occurrences than two to the power of this is dealt in chunks of about as many
 BANDS = 3  # of sizes, for each power of two
+SKETCH = 1 << 7  # bits of a sketch
+# white space, and letters beyond ASCII that lower() would change or that a newer Unicode may call capitals
+OTHERS = r"[\t\r\x0b\x0c[\x{80}-\x{10ffff}&&[\p{javaUpperCase}\p{javaTitleCase}\p{Cn}]]]"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def _spaced(text: Column) -> Column:
-    """Spaces for other white space but line ends."""
-    for c in "\t\r\x0b\x0c":
-        text = F.replace(text, F.lit(c), F.lit(" "))
-    return text
-
-
-def _lowered(text: Column) -> Column:
-    """Lower case in A-Z; texts of one byte for each letter take the fast way."""
-    return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
+def _lowered(line: Column) -> Column:
+    """Lower case in A-Z and spaces for other white space; lines without such and without other capitals take the fast way."""
+    return F.when(line.rlike(OTHERS), F.translate(line, UPPER + "\t\r\x0b\x0c", LOWER + " " * 4)).otherwise(F.lower(line))
 
 
 def _lines(texts: DataFrame, words: str = "words") -> DataFrame:
     """doc_id, tie, line (number) and words of every line."""
-    return texts.select("doc_id", "tie", F.posexplode(F.split(_spaced(F.col("text")), "\n")).alias("line", words))
+    return texts.select("doc_id", "tie", F.posexplode(F.split("text", "\n")).alias("line", words))
+
+
+def _longs(values: list[int]) -> Column:
+    """An array of longs as a constant."""
+    return F.from_json(F.lit("[" + ",".join(map(str, values)) + "]"), "array<bigint>")
 
 
 def token_classes(texts: DataFrame) -> Column:
-    """A column of COUNTERS frequency classes: of all tokens whose hash falls on a counter, four classes for each power of two of their count.
+    """A column of COUNTERS frequency classes, as high bytes of longs: of all tokens whose hash falls on a counter, four classes for each power of two of their count.
 
     The counters hold every token of every text, here without case in all letters. The driver gets a number for each.
     """
-    token = F.explode(F.split(F.replace(_spaced(F.lower("text")), F.lit("\n"), F.lit(" ")), " ")).alias("token")
+    token = F.explode(F.split(F.lower("text"), "[ \\t-\\r]")).alias("token")
     slot = F.xxhash64("token").bitwiseAND(F.lit(COUNTERS - 1)).cast("int").alias("slot")
     class_ = F.least(F.floor(4 * F.log2(F.col("count") + 1)), F.lit(127))
     classes = [0] * COUNTERS
     for at, c in texts.select(token).groupBy(slot).count().select("slot", class_).collect():  # at most COUNTERS rows
-        classes[at] = c
-    return F.from_json(F.lit("[" + ",".join(map(str, classes)) + "]"), "array<int>")
+        classes[at] = c << 56
+    return _longs(classes)
 
 
 def _hashes(line: Column) -> Column:
@@ -57,16 +58,19 @@ def _hashes(line: Column) -> Column:
     return F.array_remove(F.array_distinct(F.transform(F.split(_lowered(line), " "), lambda t: F.xxhash64(t))), F.xxhash64(F.lit("")))
 
 
+def _at(table: Column, number: Column, size: int) -> Column:
+    return F.get(table, number.bitwiseAND(F.lit(size - 1)).cast("int"))
+
+
 def token_set(line: Column, classes: Column) -> Column:
     """The line's distinct tokens, rare ones first."""
-    class_ = lambda h: F.coalesce(F.get(classes, h.bitwiseAND(F.lit(COUNTERS - 1)).cast("int")), F.lit(0)).cast("long")
-    return F.sort_array(F.transform(_hashes(line), lambda h: F.shiftleft(class_(h), 56).bitwiseOR(F.shiftrightunsigned(h, 8))))
+    return F.sort_array(F.transform(_hashes(line), lambda h: _at(classes, h, COUNTERS).bitwiseOR(F.shiftrightunsigned(h, 8))))
 
 
 def _sketch(tokens: Column, half: int) -> Column:
-    """64 of 128 parity bits: two sketches differ in no more bits than their sets do in tokens."""
-    own = (lambda t: F.shiftright(t, 6).bitwiseAND(F.lit(1))) if half else (lambda t: F.shiftright(F.bitwise_not(t), 6).bitwiseAND(F.lit(1)))
-    return F.aggregate(tokens, F.lit(0).cast("long"), lambda bits, t: bits.bitwiseXOR(F.call_function("shiftleft", own(t), t.bitwiseAND(F.lit(63)).cast("int"))))
+    """64 of 128 parity bits: two sketches differ in no more bits than their sets do in tokens. Tables are faster here than shifts."""
+    bits = _longs([(1 << (k % 64)) - (k % 64 == 63) * 2**64 if k // 64 == half else 0 for k in range(SKETCH)])
+    return F.aggregate(tokens, F.lit(0).cast("long"), lambda held, t: held.bitwiseXOR(_at(bits, t, SKETCH)))
 
 
 def _sets(texts: DataFrame, classes: Column, percent: int) -> DataFrame:
@@ -84,39 +88,55 @@ def _first_lines(lines: DataFrame, several: DataFrame) -> DataFrame:
     return marked.where("not maybe").drop("maybe").unionByName(again.drop("maybe", "first"))
 
 
+def _n(x: str) -> Column:
+    return F.shiftrightunsigned(f"{x}place", 32)
+
+
+def _i(x: str) -> Column:
+    return F.shiftrightunsigned(f"{x}place", 1).bitwiseAND(F.lit((1 << 31) - 1))
+
+
+def _open(x: str) -> Column:
+    return F.col(f"{x}place").bitwiseAND(F.lit(1)) == 1
+
+
 def _fits(percent: int, x: str, y: str) -> Column:
     """Length filter, positional filter and sketch of postings x and y (prefixes of column names)."""
-    n, m = F.col(f"{x}n"), F.col(f"{y}n")
+    n, m = _n(x), _n(y)
     need = F.ceil((n + m) * percent / (100 + percent))
     length = F.least(n, m) * 100 >= F.greatest(n, m) * percent
-    place = F.least(n - F.col(f"{x}i"), m - F.col(f"{y}i")) >= need
+    place = F.least(n - _i(x), m - _i(y)) >= need
     away = [F.bit_count(F.col(f"{x}{c}").bitwiseXOR(F.col(f"{y}{c}"))) for c in ("bits", "more")]
     sketch = away[0] + away[1] <= n + m - 2 * need
     return (F.col(f"{x}sid") != F.col(f"{y}sid")) & length & place & sketch
 
 
-def _postings(first: DataFrame, *more: str) -> DataFrame:
-    """A row for each token of each prefix: token, i (place), sid, doc_id, n, bits and more (sketch)."""
-    return first.select("sid", "doc_id", "n", "bits", "more", *more, F.posexplode("prefix").alias("i", "token"))
+def _postings(first: DataFrame, prefix: str, open_: Column) -> DataFrame:
+    """A row for each token of each prefix: token, sid, doc_id, place (size, number in the prefix and whether it is open, in one number), bits and more (sketch)."""
+    place = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.shiftleft(F.col("i").cast("long"), 1)).bitwiseOR(open_.cast("long")).alias("place")
+    return first.select("*", F.posexplode(prefix).alias("i", "token")).select("token", "sid", "doc_id", place, "bits", "more", "n")
 
 
 def _with_hubs(first: DataFrame, percent: int) -> DataFrame:
     """a and b: of each token and each power of sizes the earliest set, and each later one that it fits.
 
-    Tokens that occur very often are dealt in chunks, each with a hub of its own.
+    Tokens that occur very often are dealt in chunks, each with a hub of its own. Of each prefix it takes the part that
+    sets share with larger ones; what this leaves is found by _sharing.
     """
+    short = F.slice("prefix", F.lit(1), F.col("n") - F.ceil(F.col("n") * (2 * percent) / (100 + percent)).cast("int") + 1)
     times = F.floor(F.shiftright("token", 56) / 4).cast("int")  # its power of two, as counted
     chunk = F.pmod("sid", F.call_function("shiftleft", F.lit(1).cast("long"), F.greatest(times - CHUNK_BITS, F.lit(0))))
-    dealt = _postings(first).withColumn("chunk", chunk).withColumn("band", F.floor(F.log2("n") * BANDS).cast("int"))
-    earliest = Window.partitionBy("token", "chunk", "band").orderBy("doc_id", "sid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    with_hub = dealt.select("*", *[F.first(c).over(earliest).alias(f"hub_{c}") for c in ("sid", "n", "bits", "more", "i")])
+    group = F.xxhash64("token", chunk, F.floor(F.log2("n") * BANDS)).alias("group")
+    dealt = _postings(first.withColumn("short", short).drop("prefix"), "short", F.lit(True)).select(group, "sid", "doc_id", "place", "bits", "more")
+    earliest = Window.partitionBy("group").orderBy("doc_id", "sid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    with_hub = dealt.select("*", *[F.first(c).over(earliest).alias(f"hub_{c}") for c in ("sid", "place", "bits", "more")])
     return with_hub.where(_fits(percent, "hub_", "")).select(F.col("hub_sid").alias("a"), F.col("sid").alias("b"))
 
 
 def _sharing(first: DataFrame, percent: int) -> DataFrame:
     """a and b: sets that share a token and fit, the later of them open. Both sides of the join read one exchange."""
-    x, y = (_postings(first, "open").select("token", *[F.col(c).alias(f"{k}_{c}") for c in ("sid", "doc_id", "n", "bits", "more", "i", "open")]) for k in "xy")
-    open_ = ((F.col("x_doc_id") <= F.col("y_doc_id")) & F.col("y_open")) | ((F.col("x_doc_id") >= F.col("y_doc_id")) & F.col("x_open"))
+    x, y = (_postings(first, "prefix", F.col("open")).select("token", *[F.col(c).alias(f"{k}_{c}") for c in ("sid", "doc_id", "place", "bits", "more")]) for k in "xy")
+    open_ = ((F.col("x_doc_id") <= F.col("y_doc_id")) & _open("y_")) | ((F.col("x_doc_id") >= F.col("y_doc_id")) & _open("x_"))
     both = x.join(y, (x["token"] == y["token"]) & (F.col("x_sid") < F.col("y_sid")) & open_ & _fits(percent, "x_", "y_"))
     return both.select(F.col("x_sid").alias("a"), F.col("y_sid").alias("b"))
 

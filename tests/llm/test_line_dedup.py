@@ -74,3 +74,26 @@ def test_table(spark):
     docs = sorted((r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect())
     want = brute(docs)
     assert {r.doc_id: r.text for r in op2_line_dedup(spark, SF).collect()} == want
+
+
+def test_letters(spark):
+    """Of all letters only A-Z change, and other white space becomes spaces, whichever way a line takes."""
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    all_ = [chr(c) for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
+    low = [chr(ord(c) + 32) if "A" <= c <= "Z" else " " if c in "\t\r\x0b\x0c" else c for c in all_]
+    df = spark.createDataFrame(pa.table({"line": [f"A{c}É"[: 2 + k % 2] for k, c in enumerate(all_)], "want": [f"a{c}É"[: 2 + k % 2] for k, c in enumerate(low)]}))
+    assert df.where(line_dedup._lowered(F.col("line")) != F.col("want")).count() == 0
+
+
+def test_hubs_take_short_prefixes(spark):
+    """A pair has its first common token among the smaller set's first n - ceil(8/9 n) + 1; the pass by hubs reads no more of any set."""
+    from pyspark.sql import functions as F
+
+    sets = spark.createDataFrame([(k, k, 18, 0, 0, [10, 11, 12, 13 + k]) for k in range(3)], "sid long, doc_id long, n int, bits long, more long, prefix array<long>")
+    got = line_dedup._with_hubs(sets, 80)
+    assert sorted(map(tuple, got.collect())) == [(0, 1)] * 3 + [(0, 2)] * 3
+    late = sets.withColumn("prefix", F.array(*[F.lit(100) + 10 * F.col("sid") + i for i in range(3)], F.lit(7).cast("long")))
+    assert line_dedup._with_hubs(late, 80).count() == 0
+    assert sorted({tuple(r) for r in line_dedup._sharing(late.withColumn("open", F.lit(True)), 80).collect()}) == []
